@@ -15,8 +15,8 @@ _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -81,20 +81,26 @@ def cut_at_spaces(data: np.ndarray) -> Iterator[np.ndarray]:
     while at < n:
         end = min(at + CHUNK, n)
         if end < n:
-            spaces = np.flatnonzero(_SPACE[data[at:end]])
+            spaces = np.flatnonzero(SPACE[data[at:end]])
             if len(spaces):
                 end = at + int(spaces[-1]) + 1
         yield data[at:end]
         at = end
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than ASCII white space."""
+def words(data: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes other than ASCII white space; none crosses the edges between texts."""
     inside = np.empty(len(data) + 2, np.int8)
     inside[0] = inside[-1] = 0
-    np.logical_not(_SPACE[data], out=inside[1:-1].view(bool))
+    np.logical_not(SPACE[data], out=inside[1:-1].view(bool))
     steps = np.diff(inside)
-    return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    start, end = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    if edges is not None and len(edges) and len(start):
+        edge = np.unique(edges)
+        k = np.searchsorted(start, edge, side="left") - 1
+        edge = edge[(k >= 0) & (end[np.maximum(k, 0)] > edge)]
+        start, end = np.sort(np.concatenate([start, edge])), np.sort(np.concatenate([end, edge]))
+    return start, end
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -137,14 +143,7 @@ def text_words(column: pa.Array, low: bool = True) -> Iterator[tuple[int, int, n
             yield i, j, h, np.array([0, len(h)])
             continue
         edges = (offsets[i + 1 : j] - offsets[i]).astype(np.int64)
-        start, end = words(part)
-        if len(start) and len(edges):  # a word never crosses into the next text
-            edge = np.unique(edges)
-            k = np.searchsorted(start, edge, side="left") - 1
-            cross = (k >= 0) & (end[np.maximum(k, 0)] > edge)
-            if cross.any():
-                start = np.sort(np.concatenate([start, edge[cross]]))
-                end = np.sort(np.concatenate([end, edge[cross]]))
+        start, end = words(part, edges)
         h = Prefix(part).of(start, end)
         bounds = np.concatenate([[0], np.searchsorted(start, edges, side="left"), [len(start)]])
         yield i, j, h, bounds
