@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from docvet.llm.shared import few, new_path, remove, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lies on disk; without fallocate, so that many small stores don't each reserve megabytes.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -44,7 +48,7 @@ def keep_states(spark: SparkSession, feed_path: str, feed: DataFrame, files_per_
     identifier and content locator of the one that stays. The state lies in RocksDB and on the shared disk and never
     expires; each batch puts the states that it changed into a table, and the newest of each digest is returned."""
     work = new_path(spark, "states")
-    key, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
     stream = spark.readStream.schema(feed.schema)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
@@ -58,14 +62,16 @@ def keep_states(spark: SparkSession, feed_path: str, feed: DataFrame, files_per_
         changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{work}/changed/batch={batch}")
 
     try:
-        spark.conf.set(key, ROCKSDB)
+        for k, v in ROCKSDB.items():
+            spark.conf.set(k, v)
         query = (
             states.writeStream.outputMode("update").foreachBatch(lambda df, batch: put(df.select("digest", "stays", "group_size"), batch))
             .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(key, old)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = f"digest string, stays {feed.select(F.struct('doc_id', 'at')).dtypes[0][1]}, group_size long, batch long"
     try:
         changed = spark.read.schema(schema).parquet(f"{work}/changed")
