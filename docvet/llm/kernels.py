@@ -88,11 +88,11 @@ def cut_at_spaces(data: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
-def words(data: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than ASCII white space; none crosses the edges between texts."""
+def words(data: np.ndarray, edges: np.ndarray | None = None, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that aren't apart (ASCII white space); none crosses the edges between texts."""
     inside = np.empty(len(data) + 2, np.int8)
     inside[0] = inside[-1] = 0
-    np.logical_not(SPACE[data], out=inside[1:-1].view(bool))
+    np.logical_not(apart[data], out=inside[1:-1].view(bool))
     steps = np.diff(inside)
     start, end = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
     if edges is not None and len(edges) and len(start):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvet.llm import exact_dedup, html_main, mixing, packing, secrets, sharding
+from docvet.llm import exact_dedup, html_main, mixing, near_dedup, packing, secrets, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=2)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_documents(spark, sf_dir)))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op6_html_extraction": op6_html_extraction,
+    "op7_near_dedup": op7_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
