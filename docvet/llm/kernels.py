@@ -54,11 +54,11 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def spans_of(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of texts with at most size bytes together; a longer text stands alone."""
+def spans_of(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of texts with at most CHUNK bytes together; a longer text stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
