@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvet.llm import exact_dedup, html_main, mixing, near_dedup, packing, secrets, sharding, toxicity
+from docvet.llm import exact_dedup, html_main, knn, mixing, near_dedup, packing, secrets, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=2)
 
 
+def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_documents(spark, sf_dir)))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op6_html_extraction": op6_html_extraction,
     "op7_near_dedup": op7_near_dedup,
+    "op8_knn_join": op8_knn_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
@@ -65,4 +70,11 @@ ORACLE_SQL: dict[str, str] = {
         with d as (select doc_id, {_LOWER} as t from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
         from d window w as (partition by t)""",
+    "op8_knn_join": """
+        with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as e from embeddings
+                   where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), p -> p[1] * p[2]))::bigint as score
+              from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id)
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+        qualify rank <= 10""",
 }
