@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvet.llm import exact_dedup, html_main, knn, mixing, near_dedup, packing, secrets, sharding, toxicity
+from docvet.llm import exact_dedup, html_main, knn, mixing, near_dedup, packing, secrets, sharding, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(_documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_columns(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_sharding": op4_sharding,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_near_dedup": op7_near_dedup,
     "op8_knn_join": op8_knn_join,
