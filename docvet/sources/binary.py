@@ -1,0 +1,490 @@
+"""Readers of single files, from bytes to the document model, on the standard library. They raise ValueError on what they can't read."""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+import zlib
+from collections.abc import Callable
+from html.parser import HTMLParser
+from typing import Any
+from xml.etree import ElementTree as ET
+
+from docvet.functions import fixed
+
+REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def local(tag: Any) -> str:
+    return tag.rpartition("}")[2] if isinstance(tag, str) else ""
+
+
+def attr(el: ET.Element | None, name: str) -> str | None:
+    """An attribute by its local name."""
+    if el is None:
+        return None
+    return next((v for k, v in el.attrib.items() if local(k) == name), None)
+
+
+def child(el: ET.Element | None, name: str) -> ET.Element | None:
+    return next((c for c in el if local(c.tag) == name), None) if el is not None else None
+
+
+def colour(value: str | None) -> str | None:
+    v = (value or "").strip().lstrip("#").upper()
+    v = v[2:] if re.fullmatch("[0-9A-F]{8}", v) else "".join(c * 2 for c in v) if re.fullmatch("[0-9A-F]{3}", v) else v
+    return v if re.fullmatch("[0-9A-F]{6}", v) else None
+
+
+def run(text: str, size: float | None = None, colour_: str | None = None, hidden: bool = False, alpha: float | None = None) -> dict:
+    return {"text": text, "font_size": size, "color": colour_, "is_hidden": hidden, "alpha": alpha}
+
+
+def paragraph(idx: int | None, text: str, runs: list[dict], **more: Any) -> dict:
+    return {"idx": idx, "text": text, "runs": runs, "sheet": None, "row": None, "col": None, "slide": None, "element": None} | more
+
+
+class Package:
+    """The parts of a zipped document."""
+
+    def __init__(self, data: bytes):
+        try:
+            self.zip = zipfile.ZipFile(io.BytesIO(data))
+        except zipfile.BadZipFile as e:
+            raise ValueError(f"not a zip file: {e}") from e
+        self.names = sorted(self.zip.namelist())
+
+    def xml(self, name: str) -> ET.Element | None:
+        """A part's root; a part that is missing or no XML is None. Declarations of entities are refused."""
+        if name not in self.names:
+            return None
+        raw = self.zip.read(name)
+        if b"<!ENTITY" in raw:
+            raise ValueError(f"{name} declares entities")
+        try:
+            return ET.fromstring(raw)
+        except ET.ParseError:
+            return None
+
+    def targets(self, part: str) -> dict[str, str]:
+        """The parts that a part's relationships name, by id."""
+        folder, _, name = part.rpartition("/")
+        out = {}
+        for r in self.xml(f"{folder}/_rels/{name}.rels") or ():
+            path = r.get("Target", "")
+            parts = [] if path.startswith("/") else folder.split("/")
+            for p in path.lstrip("/").split("/"):
+                parts = parts[:-1] if p == ".." else [*parts, p]
+            out[r.get("Id", "")] = "/".join(parts)
+        return out
+
+    def properties(self) -> dict[str, str]:
+        root = self.xml("docProps/core.xml")
+        names = {"creator": "author", "lastModifiedBy": "last_modified_by", "description": "comments"}
+        return {names.get(local(e.tag), local(e.tag)): e.text for e in root if e.text and e.text.strip()} if root is not None else {}
+
+    def nodes(self) -> list[dict]:
+        """Of each part that can hide content, each kind of such element that it has, with their number."""
+        out = []
+        for name in self.names:
+            for pattern, tags in fixed.PART_NODES.items():
+                if not re.match(pattern, name) or (root := self.xml(name)) is None:
+                    continue
+                for tag in tags:
+                    if hits := [e for e in root.iter() if local(e.tag) == tag.partition(":")[2]]:
+                        out.append({"part": name, "tag": tag, "n": len(hits), "text": (hits[0].text or "") if local(hits[0].tag) == "delText" else ""})
+        return out
+
+    def common(self) -> dict:
+        return {"metadata": self.properties(), "nodes": self.nodes(), "parts": self.names}
+
+
+def word(data: bytes) -> dict:
+    """Paragraphs of the body, then of headers and footers; runs inside insertions and links too."""
+    pack = Package(data)
+    root = pack.xml("word/document.xml")
+    if root is None:
+        raise ValueError("word/document.xml is missing or broken")
+
+    def runs_of(p: ET.Element) -> list[dict]:
+        out = []
+        for r in p.iter():
+            if local(r.tag) != "r":
+                continue
+            text = "".join(t.text or "" for t in r if local(t.tag) == "t") or "".join(t.text or "" for t in r if local(t.tag) == "delText")
+            props = child(r, "rPr")
+            size = attr(child(props, "sz"), "val")
+            if text:
+                out.append(run(text, float(size) / 2 if size else None, colour(attr(child(props, "color"), "val")), child(props, "vanish") is not None or child(props, "webHidden") is not None))
+        return out
+
+    paragraphs = []
+    others = [pack.xml(n) for n in pack.names if re.match(r"word/(?:header|footer)\d*\.xml$", n)]
+    for part in [root, *others]:
+        for p in part.iter() if part is not None else ():
+            if local(p.tag) == "p" and (runs := runs_of(p)):
+                paragraphs.append(paragraph(len(paragraphs), "".join(r["text"] for r in runs), runs))
+    comments = pack.xml("word/comments.xml")
+    texts = ["".join(t.text or "" for t in c.iter() if local(t.tag) == "t") for c in (comments.iter() if comments is not None else ()) if local(c.tag) == "comment"]
+    return {"paragraphs": paragraphs, "comments": texts} | pack.common()
+
+
+def letters(ref: str) -> int:
+    """A column's number from its letters."""
+    n = 0
+    for c in ref:
+        n = n * 26 + ord(c) - 64
+    return n
+
+
+def workbook(data: bytes) -> dict:
+    """A paragraph for each cell with text, in the order of sheets, rows and cells; idx is unique. Hidden rows and columns hide cells."""
+    pack = Package(data)
+    book = pack.xml("xl/workbook.xml")
+    if book is None:
+        raise ValueError("xl/workbook.xml is missing or broken")
+    targets = pack.targets("xl/workbook.xml")
+    strings = ["".join(t.text or "" for t in s.iter() if local(t.tag) == "t") for s in (pack.xml("xl/sharedStrings.xml") or ())]
+    styles = pack.xml("xl/styles.xml")
+    fonts = [(attr(child(f, "sz"), "val"), colour(attr(child(f, "color"), "rgb"))) for f in (child(styles, "fonts") or ())]
+    formats = [int(x.get("fontId", 0)) for x in (child(styles, "cellXfs") or ())]
+    sheets, paragraphs = [], []
+    for sheet in (e for e in book.iter() if local(e.tag) == "sheet"):
+        name = sheet.get("name", "")
+        root = pack.xml(targets.get(sheet.get(REL, ""), ""))
+        hidden_cols: list[int] = []
+        hidden_rows: list[int] = []
+        for el in root.iter() if root is not None else ():
+            if local(el.tag) == "col" and el.get("hidden") in ("1", "true"):
+                hidden_cols += range(int(el.get("min", 1)), min(int(el.get("max", 1)), 16384) + 1)
+            elif local(el.tag) == "row" and el.get("hidden") in ("1", "true"):
+                hidden_rows.append(int(el.get("r", 0)))
+        cols, rows = set(hidden_cols), set(hidden_rows)
+        for cell in (e for e in (root.iter() if root is not None else ()) if local(e.tag) == "c"):
+            m = re.match(r"([A-Z]+)(\d+)$", cell.get("r", ""))
+            value, formula = child(cell, "v"), child(cell, "f")
+            if cell.get("t") == "inlineStr":
+                text = "".join(t.text or "" for t in cell.iter() if local(t.tag) == "t")
+            elif formula is not None and formula.text:
+                text = "=" + formula.text
+            else:
+                text = (value.text or "") if value is not None else ""
+                if cell.get("t") == "s" and text.isdigit() and int(text) < len(strings):
+                    text = strings[int(text)]
+            if not m or not text:
+                continue
+            row, col, style = int(m[2]), letters(m[1]), int(cell.get("s", 0))
+            font = formats[style] if style < len(formats) else -1
+            size, ink = fonts[font] if 0 <= font < len(fonts) else (None, None)
+            one = run(text, float(size) if size else None, ink, row in rows or col in cols)
+            paragraphs.append(paragraph(len(paragraphs), text, [one], sheet=name, row=row, col=col))
+        sheets.append({"name": name, "state": sheet.get("state", "visible"), "rows_hidden": hidden_rows, "cols_hidden": hidden_cols})
+    return {"paragraphs": paragraphs, "sheets": sheets} | pack.common()
+
+
+def slides(data: bytes) -> dict:
+    """A paragraph for each text paragraph of a slide's shapes, then one for the slide's notes; idx counts from 1."""
+    pack = Package(data)
+    deck = pack.xml("ppt/presentation.xml")
+    if deck is None:
+        raise ValueError("ppt/presentation.xml is missing or broken")
+    targets = pack.targets("ppt/presentation.xml")
+    paragraphs: list[dict] = []
+
+    def texts(root: ET.Element | None) -> list[list[dict]]:
+        out = []
+        for p in root.iter() if root is not None else ():
+            if local(p.tag) == "p":
+                runs = []
+                for r in p:
+                    if local(r.tag) in ("r", "fld") and (t := child(r, "t")) is not None:
+                        props = child(r, "rPr")
+                        size = props.get("sz") if props is not None else None
+                        runs.append(run(t.text or "", float(size) / 100 if size else None, colour(attr(child(child(props, "solidFill"), "srgbClr"), "val"))))
+                out.append(runs)
+        return out
+
+    for k, ref in enumerate((e for e in deck.iter() if local(e.tag) == "sldId"), 1):
+        part = targets.get(ref.get(REL, ""), "")
+        for runs in texts(pack.xml(part)):
+            text = "".join(r["text"] for r in runs)
+            if text.strip():
+                paragraphs.append(paragraph(len(paragraphs) + 1, text, runs, slide=k, element=f"slide{k}"))
+        for notes in (t for t in pack.targets(part).values() if "notesSlide" in t):
+            shapes = [s for s in (pack.xml(notes) or ET.Element("none")).iter() if local(s.tag) == "sp" and any(local(p.tag) == "ph" and p.get("type") == "body" for p in s.iter())]
+            text = "\n".join("".join(r["text"] for r in runs) for s in shapes for runs in texts(s))
+            if text.strip():
+                paragraphs.append(paragraph(len(paragraphs) + 1, text, [run(text)], slide=k, element="notes"))
+    return {"paragraphs": paragraphs} | pack.common()
+
+
+class _Page(HTMLParser):
+    """Blocks of a page with their runs. Styles are inherited down the tree; text belongs to its innermost block, once."""
+
+    BLOCKS = frozenset("p div td th li h1 h2 h3 h4 h5 h6 section article header footer main aside nav ul ol table tr blockquote pre body dd dt figure figcaption form".split())
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, dict[str, str]]] = []
+        self.runs: list[dict] = []
+        self.out: list[dict] = []
+        self.meta: dict[str, str] = {}
+        self.comments: list[str] = []
+        self.scripts = 0
+
+    def end_block(self) -> None:
+        text = "".join(r["text"] for r in self.runs)
+        if text.strip():
+            self.out.append(paragraph(len(self.out), text, self.runs))
+        self.runs = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        got = {k: v or "" for k, v in attrs}
+        self.scripts += tag == "script"
+        if tag == "meta" and (name := got.get("name") or got.get("property")) and got.get("content"):
+            self.meta[name.lower()] = got["content"]
+        if tag in self.BLOCKS:
+            self.end_block()
+        own = {k.strip().lower(): v.strip().lower() for k, v in re.findall(r"([A-Za-z-]+)\s*:\s*([^;]+)", got.get("style", ""))}
+        if tag not in self.VOID:
+            above = self.stack[-1][1] if self.stack else {}
+            if above.get("display") == "none":
+                own["display"] = "none"
+            self.stack.append((tag, above | own))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.BLOCKS:
+            self.end_block()
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                del self.stack[k:]
+                return
+
+    def handle_comment(self, data: str) -> None:
+        self.comments.append(data)
+
+    def handle_data(self, data: str) -> None:
+        if not data or (self.stack and self.stack[-1][0] in ("script", "style", "title")):
+            return
+        style = self.stack[-1][1] if self.stack else {}
+        ink = "FFFFFF" if style.get("color") == "white" else colour(style.get("color"))
+        size = re.match(r"([\d.]+)\s*(px|pt)", style.get("font-size", ""))
+        try:
+            points = None if not size else round(float(size[1]) / 1.3333, 2) if size[2] == "px" else float(size[1])
+        except ValueError:
+            points = None
+        hidden = style.get("display") == "none" or style.get("visibility") == "hidden" or ink == "FFFFFF"
+        self.runs.append(run(data, points, ink, hidden))
+
+
+def page(data: bytes) -> dict:
+    parser = _Page()
+    parser.feed(data.decode("utf-8", "replace"))
+    parser.close()
+    parser.end_block()
+    return {"paragraphs": parser.out, "metadata": parser.meta, "comments": parser.comments, "scripts": parser.scripts}
+
+
+# ---- pdf -----------------------------------------------------------------------------------------------------------------
+
+_PDF_TOKEN = re.compile(rb"[\x00\t\n\x0c\r ]+|%[^\r\n]*|<<|>>|\[|\]|/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*|\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|[^\x00\t\n\x0c\r ()<>\[\]{}/%]+|.", re.S)
+
+
+class Ref(tuple):
+    pass
+
+
+def _string(token: bytes) -> str:
+    if token[:1] == b"<":
+        raw = bytes.fromhex((h := re.sub(rb"\s", b"", token[1:-1]).decode()) + "0" * (len(h) % 2))
+    else:
+        table = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
+        raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else table.get(m[1], m[1]), token[1:-1], flags=re.S)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+
+
+def _values(data: bytes) -> list[Any]:
+    """The objects that follow each other in data: numbers, names, strings, lists, dicts, references, operators as bytes."""
+    stack: list[list[Any]] = [[]]
+    for m in _PDF_TOKEN.finditer(data):
+        t = m[0]
+        if t[0] in b"\x00\t\n\x0c\r %":
+            continue
+        if t in (b"[", b"<<"):
+            stack.append([])
+        elif t in (b"]", b">>"):
+            if len(stack) > 1:
+                items = stack.pop()
+                stack[-1].append(items if t == b"]" else {k: v for k, v in zip(items[::2], items[1::2], strict=False) if isinstance(k, str)})
+        elif t[:1] == b"/":
+            stack[-1].append(t.decode("latin-1"))
+        elif t[:1] in (b"(", b"<"):
+            stack[-1].append(("text", _string(t)))
+        elif t == b"R" and len(stack[-1]) >= 2 and all(isinstance(x, int) for x in stack[-1][-2:]):
+            stack[-1][-2:] = [Ref(stack[-1][-2:])]
+        elif re.fullmatch(rb"[+-]?\d+", t):
+            stack[-1].append(int(t))
+        elif re.fullmatch(rb"[+-]?(?:\d+\.\d*|\.\d+)", t):
+            stack[-1].append(float(t))
+        else:
+            stack[-1].append(t)
+    return stack[0]
+
+
+class Pdf:
+    """The objects of a pdf, found by their headers, in object streams too."""
+
+    def __init__(self, data: bytes):
+        if not data[:1024].lstrip().startswith(b"%PDF"):
+            raise ValueError("no pdf header")
+        self.objects: dict[int, tuple[Any, bytes | None]] = {}
+        for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", data, re.S):
+            head, mark, rest = m[2].partition(b"stream")
+            values = _values(head)
+            stream = None
+            if mark:
+                rest = rest[2:] if rest[:2] == b"\r\n" else rest[1:]
+                stream = rest.rpartition(b"endstream")[0]
+            self.objects[int(m[1])] = (values[0] if values else None, stream)
+        if re.search(rb"/Encrypt\b", data):
+            raise ValueError("the pdf is encrypted")
+        for head, stream in list(self.objects.values()):
+            if isinstance(head, dict) and head.get("/Type") == "/ObjStm" and stream is not None:
+                body = self.decoded(head, stream)
+                first = int(self.get(head.get("/First")) or 0)
+                pairs = [x for x in _values(body[:first]) if isinstance(x, int)]
+                places = [*pairs[1::2], len(body) - first]
+                for number, a, b in zip(pairs[::2], places, places[1:], strict=False):
+                    if values := _values(body[first + a : first + b]):
+                        self.objects.setdefault(number, (values[0], None))
+        if not self.objects:
+            raise ValueError("the pdf has no objects")
+
+    def get(self, x: Any) -> Any:
+        for _ in range(20):
+            if not isinstance(x, Ref):
+                return x
+            x = self.objects.get(x[0], (None, None))[0]
+        return None
+
+    def decoded(self, head: dict, stream: bytes) -> bytes:
+        filters = self.get(head.get("/Filter"))
+        for f in [] if filters is None else filters if isinstance(filters, list) else [filters]:
+            if f != "/FlateDecode":
+                raise ValueError(f"filter {f} can't be read")
+            try:
+                stream = zlib.decompressobj().decompress(stream)
+            except zlib.error as e:
+                raise ValueError(f"a stream is broken: {e}") from e
+        return stream
+
+    def content(self, page_: dict) -> bytes:
+        refs = page_.get("/Contents")
+        refs = refs if isinstance(refs, list) else self.get(refs) if isinstance(self.get(refs), list) else [refs]
+        out = []
+        for r in refs:
+            if isinstance(r, Ref) and (o := self.objects.get(r[0])) and o[1] is not None:
+                out.append(self.decoded(o[0] if isinstance(o[0], dict) else {}, o[1]))
+        return b"\n".join(out)
+
+    def pages(self) -> list[dict]:
+        root = next((o for o, _ in self.objects.values() if isinstance(o, dict) and o.get("/Type") == "/Catalog"), None)
+        out: list[dict] = []
+
+        def walk(ref: Any, above: dict, depth: int) -> None:
+            node = self.get(ref)
+            if not isinstance(node, dict) or depth > 50:
+                return
+            here = above | {k: node[k] for k in ("/Resources",) if k in node}
+            kids = self.get(node.get("/Kids"))
+            if isinstance(kids, list):
+                for k in kids:
+                    walk(k, here, depth + 1)
+            else:
+                out.append(here | node)
+
+        if root:
+            walk(root.get("/Pages"), {}, 0)
+        return out or [o for o, _ in self.objects.values() if isinstance(o, dict) and o.get("/Type") == "/Page"]
+
+
+def pdf(data: bytes) -> dict:
+    """A paragraph for each page, a run for each shown text with its size and alpha; annotations with contents."""
+    doc = Pdf(data)
+    paragraphs, annotations = [], []
+    for number, page_ in enumerate(doc.pages(), 1):
+        states = doc.get((doc.get(page_.get("/Resources")) or {}).get("/ExtGState")) or {}
+        alphas = {}
+        for name, ref in states.items():
+            state = doc.get(ref) or {}
+            value = doc.get(state.get("/ca", state.get("/CA")))
+            if isinstance(value, (int, float)):
+                alphas[name] = float(value)
+        alpha, saved, size, scale, args, runs = 1.0, [], None, 1.0, [], []
+        for x in _values(doc.content(page_)):
+            if not isinstance(x, bytes):
+                args.append(x)
+                continue
+            if x == b"q":
+                saved.append(alpha)
+            elif x == b"Q":
+                alpha = saved.pop() if saved else 1.0
+            elif x == b"gs" and args:
+                alpha = alphas.get(args[-1], alpha)
+            elif x == b"Tf" and args and isinstance(args[-1], (int, float)):
+                size = float(args[-1])
+            elif x == b"Tm" and len(args) >= 6 and isinstance(args[-3], (int, float)):
+                scale = abs(float(args[-3])) or 1.0
+            elif x == b"BT":
+                scale = 1.0
+            elif x in (b"Tj", b"'", b'"', b"TJ") and args:
+                items = args[-1] if isinstance(args[-1], list) else [args[-1]]
+                text = "".join(i[1] for i in items if isinstance(i, tuple) and i[:1] == ("text",))
+                if text.strip():
+                    runs.append(run(text, None if size is None else size * scale, None, False, alpha))
+            args = []
+        paragraphs.append(paragraph(number, "".join(r["text"] for r in runs), runs))
+        for ref in doc.get(page_.get("/Annots")) or []:
+            note = doc.get(ref)
+            contents = doc.get(note.get("/Contents")) if isinstance(note, dict) else None
+            if isinstance(contents, tuple) and contents[1]:
+                annotations.append({"page": number, "subtype": str(doc.get(note.get("/Subtype"))), "contents": contents[1]})
+    return {"paragraphs": paragraphs, "annotations": annotations}
+
+
+def code(data: bytes) -> dict:
+    """A paragraph for each line, from 1."""
+    if b"\x00" in data[: fixed.SNIFF_BYTES]:
+        raise ValueError("looks binary, cannot scan as text")
+    lines = data.decode("utf-8", "replace").removeprefix("\ufeff").splitlines()
+    return {"paragraphs": [paragraph(i, line, [run(line)]) for i, line in enumerate(lines, 1)]}
+
+
+def old_workbook(data: bytes) -> dict:
+    raise ValueError("binary workbooks can't be read; the scan fails closed")
+
+
+READERS: dict[str, Callable[[bytes], dict]] = {"docx": word, "xlsx": workbook, "xls": old_workbook, "pptx": slides, "pdf": pdf, "html": page, "text": code}
+#: The part that tells a zip file's kind.
+MAIN_PARTS = {"word/document.xml": "docx", "xl/workbook.xml": "xlsx", "ppt/presentation.xml": "pptx"}
+
+
+def kind_of_zip(data: bytes) -> str | None:
+    try:
+        names = set(Package(data).names)
+    except ValueError:
+        return None
+    return next((k for part, k in MAIN_PARTS.items() if part in names), None)
+
+
+def read(kind: str | None, name: str, data: bytes | None) -> dict:
+    """The model of one file; never raises: what can't be read has an error and no content."""
+    kind = kind_of_zip(data or b"") if kind == "zip" else kind
+    if kind is None or data is None:
+        return {"kind": "unknown", "error": {"kind": "unsupported_format", "message": f"unsupported format: {name}"}}
+    try:
+        return {"kind": kind, "error": None} | READERS[kind](data)
+    except Exception as e:  # noqa: BLE001  a file must not end the job; its scan has failed and is blocked
+        return {"kind": kind, "error": {"kind": "parse_failed", "message": f"failed to parse {name}: {e}"}}
