@@ -47,9 +47,12 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def source_id() -> F.Column:
-    """Name for rows of which a stable order is needed: equal for repeated rows."""
-    return F.xxhash64(F.col("doc_id"))
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the rows of an Arrow batch, which Spark bounds by rows alone: texts are long, and a batch lies in memory of
+    the JVM and of Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
 
 
 def numbered(df: DataFrame, group: str, order: list, out: str, rows: int, name: str, per_bucket: int = 50_000) -> DataFrame:
