@@ -66,3 +66,9 @@ def evidence(detector: str, severity: Column | str, title: Column, raw: dict[str
 
 def none() -> Column:
     return F.expr(f"cast(array() as array<{EVIDENCE}>)")
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the column name computed once: as a generated row, which the optimizer doesn't write out again into each
+    expression that uses it."""
+    return df.drop(name).select("*", F.explode(F.array(value)).alias(name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +23,7 @@ def strip(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of text; a line end at the very end begins no further line, and an empty text has no line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END, -1))
 
 
 def clean(text: Column) -> Column:
@@ -108,25 +109,23 @@ def family(path: Column) -> Column:
     return F.when(F.lower(file_name(path)).isin(*fixed.RULE_FILES), F.lit("hash")).otherwise(table[extension(path)])
 
 
+def _prefixes(family: str) -> str:
+    """The beginning of a comment line of the family."""
+    return r"(?iU)^[\s\x1c-\x1f]*(?:" + "|".join(re.sub(r"([/*.])", r"\\\1", p) for p in fixed.COMMENT_PREFIXES[family]) + ")"
+
+
 def comment_body(line: Column, family: Column) -> Column:
     """The stripped text of a comment line, or null: the family's prefix must begin the line; without family every line is one."""
     s = strip(line)
-    out = F.when(family.isNull(), s)
-    for fam, prefixes in fixed.COMMENT_PREFIXES.items():
-        taken = F.lit(None).cast("string")
-        for p in reversed(prefixes):
-            taken = F.when(F.lower(s).startswith(p), F.substring(s, len(p) + 1, 1 << 30)).otherwise(taken)
-        out = out.when(family == fam, strip(taken))
-    return F.when(s != "", out)
+    out = F.when(family.isNull(), F.when(s != "", s))
+    for fam in fixed.COMMENT_PREFIXES:
+        out = out.when(family == fam, F.when(line.rlike(_prefixes(fam)), strip(F.regexp_replace(line, _prefixes(fam), ""))))
+    return out
 
 
 def comment_prefix(line: Column, family: Column) -> Column:
     """The family's prefix that begins the line, or an empty text."""
-    s = F.lower(strip(line))
     out = F.when(family.isNull(), F.lit(""))
-    for fam, prefixes in fixed.COMMENT_PREFIXES.items():
-        taken = F.lit("")
-        for p in reversed(prefixes):
-            taken = F.when(s.startswith(p), F.lit(p)).otherwise(taken)
-        out = out.when(family == fam, taken)
+    for fam in fixed.COMMENT_PREFIXES:
+        out = out.when(family == fam, F.lower(F.regexp_replace(F.regexp_extract(line, _prefixes(fam), 0), r"(?U)^[\s\x1c-\x1f]+", "")))
     return F.coalesce(out, F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvet.functions import fixed, text
-from docvet.functions.ir import EVIDENCE, evidence, none
+from docvet.functions.ir import EVIDENCE, evidence, none, settled
 
 
 def _flat(items: Column) -> Column:
@@ -155,18 +155,20 @@ def speaker_notes() -> Column:
     return F.transform(notes, each)
 
 
-def directives(df: DataFrame, line: str, family: str, out: str) -> DataFrame:
-    """df and a column out: what the comment in column line asks for, as (klass, severity, frames, start, end, body), or null.
+def directives(df: DataFrame, line: str, family: str, out: str, keep_others: bool = True) -> DataFrame:
+    """df and a column out: what the comment in column line asks for, as (klass, severity, frames, start, end, body), or
+    null; without keep_others only the rows that have it, and most lines go before any pattern is tried.
 
     The comment must be in a directive frame (a marker, an address, an order, a claim of authority, an unsafe wish) and name
     an objective that the words just before don't forbid. The objective that begins first counts, then the longest.
     """
     s = F.col(line)
-    df = df.withColumn("_body", text.comment_body(s, F.col(family)))
-    df = df.withColumn("_body", F.when(F.length("_body") >= fixed.LEAST_BODY, F.col("_body")))
+    comment = text.comment_body(s, F.col(family))
+    df = settled(df, "_body", F.when(F.length(comment) >= fixed.LEAST_BODY, comment)) if keep_others else settled(df.filter(F.length(comment) >= fixed.LEAST_BODY), "_body", comment)
     body = F.col("_body")
     marker = F.coalesce(text.found(body, fixed.MARKER), F.lit(""))
-    df = df.withColumn("_marker", marker).withColumn("_rest", F.substring(body, F.length("_marker") + 1, F.lit(1 << 30)))
+    df = settled(df, "_marker", marker)
+    df = settled(df, "_rest", F.substring(body, F.length("_marker") + 1, F.lit(1 << 30)))
     rest = F.col("_rest")
     found = []
     for k, (klass, pattern) in enumerate(fixed.OBJECTIVES.items()):
@@ -174,20 +176,22 @@ def directives(df: DataFrame, line: str, family: str, out: str) -> DataFrame:
         size = F.length(text.found(rest, pattern))
         found.append(F.when(text.matches(rest, pattern), F.struct(start.alias("start"), (-size).alias("less"), F.lit(k).alias("k"), F.lit(klass).alias("klass"))))
     hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    df = df.withColumn("_hits", hits)
+    df = settled(df, "_hits", hits)
     allowed = F.filter("_hits", lambda x: ~text.matches(F.substring(F.col("_rest"), F.greatest(x["start"] - fixed.LOOK_BEHIND, F.lit(0)) + 1, F.least(x["start"], F.lit(fixed.LOOK_BEHIND))), fixed.PROHIBITION))
-    df = df.withColumn("_hit", F.array_min(allowed))
+    df = settled(df, "_hit", F.array_min(allowed))
+    df = df if keep_others else df.filter("_hit is not null")
     frames = {
         "marker": F.col("_marker") != "", "addressed": text.matches(rest, fixed.ADDRESSED), "imperative": text.matches(rest, fixed.IMPERATIVE), "authority": text.matches(rest, fixed.AUTHORITY),
         "unsafe-negation": text.matches(rest, fixed.UNSAFE_NEGATION) | text.matches(rest, fixed.UNSAFE_RAW),
     }
-    df = df.withColumn("_frames", F.when(F.col("_hit").isNotNull(), F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in frames.items()]), lambda x: x.isNotNull())))
+    df = settled(df, "_frames", F.when(F.col("_hit").isNotNull(), F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in frames.items()]), lambda x: x.isNotNull())))
     weak = F.col("_hit.klass").isin(*fixed.WEAK_OBJECTIVES)
     real = F.exists("_frames", lambda f: f != "marker")
     severity = F.when(~weak, "critical").when(real, "high").otherwise("medium")
     start = F.instr(s, body) - 1 + F.length("_marker") + F.col("_hit.start")
     result = F.struct(F.col("_hit.klass").alias("klass"), severity.alias("severity"), F.array_join("_frames", ", ").alias("frames"), start.alias("start"), (start - F.col("_hit.less")).alias("end"), body.alias("body"))
-    return df.withColumn(out, F.when(F.size("_frames") > 0, result)).drop("_body", "_marker", "_rest", "_hits", "_hit", "_frames")
+    df = settled(df, out, F.when(F.size("_frames") > 0, result)) if keep_others else settled(df.filter(F.size("_frames") > 0), out, result)
+    return df.drop("_body", "_marker", "_rest", "_hits", "_hit", "_frames")
 
 
 def directive_finding(d: Column, line: Column) -> Column:
@@ -200,7 +204,7 @@ def directive_finding(d: Column, line: Column) -> Column:
 def comment_directives(docs: DataFrame, keys: list[str]) -> DataFrame:
     """The findings of directive comments by document: keys, _directives. Only lines that can be comments leave the row."""
     lines = docs.filter("kind = 'text'").select(*keys, "family", F.explode("paragraphs").alias("_p")).select(*keys, "family", F.col("_p.idx").alias("_line"), F.col("_p.text").alias("_text"))
-    hits = directives(lines, "_text", "family", "_d").filter("_d is not null")
+    hits = directives(lines, "_text", "family", "_d", keep_others=False)
     return hits.groupBy(*keys).agg(F.collect_list(directive_finding(F.col("_d"), F.col("_line"))).alias("_directives"))
 
 
@@ -221,20 +225,23 @@ def place_text(e: Column) -> Column:
 
 def ordered(found: Column) -> Column:
     """Findings by detector, then by the text of their place, else as they were."""
-    keyed = F.transform(found, lambda e, i: F.struct(e["detector_id"].alias("d"), place_text(e).alias("p"), i.alias("i"), e.alias("e")))
-    return F.transform(F.array_sort(keyed, lambda a, b: F.when(a["d"] < b["d"], -1).when(a["d"] > b["d"], 1).when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(a["i"] - b["i"])), lambda x: x["e"])
+    keyed = F.transform(found, lambda e, i: F.struct(e["detector_id"].alias("d"), place_text(e).alias("p"), i.alias("i")))
+    return F.transform(F.array_sort(keyed), lambda x: F.get(found, x["i"]))
 
 
-def detect(docs: DataFrame, keys: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
-    """docs (the model, completed) and a column evidence: all findings in order. Detectors that are skipped don't run."""
+def detect(docs: DataFrame, keys: list[str], skip: tuple[str, ...] = (), kinds: tuple[str, ...] = (*fixed.DOCUMENT_KINDS, "text")) -> DataFrame:
+    """docs (the model, completed) and a column evidence: all findings in order. Detectors that are skipped, and those of
+    other kinds than docs can have, aren't in the plan."""
     columns = []
     for detector, make in COLUMNS.items():
-        if detector not in skip:
-            columns.append(F.when(F.col("kind").isin(*fixed.DETECTORS[detector][1].split()), make()).otherwise(none()))
+        own = [k for k in fixed.DETECTORS[detector][1].split() if k in kinds]
+        if detector not in skip and own:
+            columns.append(F.when(F.col("kind").isin(*own), make()).otherwise(none()))
     found = F.concat(*columns) if columns else none()
-    if "DET-008" not in skip:
+    if "DET-008" not in skip and "text" in kinds:
         # An equi-join on the keys of the documents that have such a comment; all other documents stay where they are.
         docs = docs.join(comment_directives(docs, keys), keys, "left")
         found = F.concat(found, F.coalesce("_directives", none()))
-    out = docs.withColumn("evidence", F.coalesce(ordered(found), none()).cast(f"array<{EVIDENCE}>"))
-    return out.drop("_directives")
+    docs = settled(docs, "_found", found)
+    out = F.when(F.size("_found") < 2, F.col("_found")).otherwise(ordered(F.col("_found")))
+    return settled(docs, "evidence", out.cast(f"array<{EVIDENCE}>")).drop("_directives", "_found")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvet.functions import fixed
+from docvet.functions.ir import settled
 
 
 def rank(severity: Column) -> Column:
@@ -48,13 +49,13 @@ def structure(found: Column) -> Column:
 
 
 def first_hint(body: Column) -> Column:
-    """The first phrase of the list that the text holds."""
-    return F.get(F.filter(F.array(*map(F.lit, fixed.HINTS)), lambda h: F.contains(F.lower(body), h)), F.lit(0))
+    """The first phrase of the list that the lower-cased text holds."""
+    return F.coalesce(*[F.when(F.contains(body, F.lit(h)), F.lit(h)) for h in fixed.HINTS])
 
 
-def content(found: Column, body: Column) -> Column:
+def content(found: Column, first: Column) -> Column:
     words = F.size(F.filter(found, lambda e: (e["detector_id"] == "DET-007") & (e["title"] == "Suspicious metadata content")))
-    hint = F.when(first_hint(body).isNotNull(), F.lit(Decimal("0.15"))).otherwise(F.lit(Decimal("0.00")))
+    hint = F.when(first.isNotNull(), F.lit(Decimal("0.15"))).otherwise(F.lit(Decimal("0.00")))
     return _score((words * F.lit(Decimal("0.4")) + _penalty(F.filter(found, lambda e: e["detector_id"] == "DET-008")) + hint).cast("decimal(14,4)"))
 
 
@@ -65,14 +66,14 @@ def meta(found: Column) -> Column:
     return _score((macros * F.lit(Decimal("0.6")) + scripts * F.lit(Decimal("0.3"))).cast("decimal(14,4)"))
 
 
-def reasons(found: Column, body: Column) -> Column:
+def reasons(found: Column, hint_: Column) -> Column:
     """Why the scores are what they are, in the order structure, content, meta."""
     hidden = F.filter(found, lambda e: e["detector_id"].isin(*fixed.CONCEALING))
     ids = F.array_join(F.array_sort(F.array_distinct(F.transform(hidden, lambda e: e["detector_id"]))), "/")
     first = F.when(F.size(hidden) > 0, F.concat(F.lit("hidden content: "), F.size(hidden).cast("string"), F.lit(" finding(s) ("), ids, F.lit(")")))
     words = F.transform(F.filter(found, lambda e: e["title"] == "Suspicious metadata content"), lambda e: F.lit("suspicious keywords in metadata"))
     orders = F.transform(F.filter(found, lambda e: e["detector_id"] == "DET-008"), lambda e: F.concat(F.lit("code-comment directive ("), e["raw"]["class"], F.lit(", "), e["severity"], F.lit(")")))
-    hint = F.concat(F.lit("instruction-like phrasing in document ('"), first_hint(body), F.lit("')"))
+    hint = F.concat(F.lit("instruction-like phrasing in document ('"), hint_, F.lit("')"))
     other = F.transform(
         F.filter(found, lambda e: (e["detector_id"] == "DET-007") & (e["title"] != "Suspicious metadata content")),
         lambda e: F.when(F.contains(e["title"], F.lit("VBA")), "VBA/macro present").otherwise("JavaScript present"),
@@ -85,13 +86,15 @@ def trust(df: DataFrame, body: Column) -> DataFrame:
     found = F.col("evidence")
     failed = F.col("error").isNotNull()
     zero = F.lit(Decimal("0.0000")).cast("decimal(6,4)")
-    df = df.withColumns({k: F.when(failed, zero).otherwise(v) for k, v in (("structure", structure(found)), ("content", content(found, body)), ("meta", meta(found)))})
+    df = settled(settled(df, "_text", F.lower(body)), "_hint", first_hint(F.col("_text")))
+    for k, v in (("structure", structure(found)), ("content", content(found, F.col("_hint"))), ("meta", meta(found))):
+        df = settled(df, k, F.when(failed, zero).otherwise(v))
     raw = (F.lit(Decimal("0.5")) * F.col("structure") + F.lit(Decimal("0.3")) * F.col("content") + F.lit(Decimal("0.2")) * F.col("meta")).cast("decimal(6,4)")
     ordered = F.exists(found, lambda e: (e["detector_id"] == "DET-008") & (rank(e["severity"]) >= fixed.SEVERITIES.index("high")))
     cap = F.when((F.col("structure") <= Decimal("0.2")) | ordered, Decimal("0.39")).when(F.col("structure") < 1, Decimal("0.6")).otherwise(Decimal("1"))
-    df = df.withColumn("score", F.least(raw, cap.cast("decimal(6,4)")))
+    df = settled(df, "score", F.least(raw, cap.cast("decimal(6,4)")))
     label = F.when(F.col("score") >= Decimal("0.7"), "safe").when(F.col("score") >= Decimal("0.4"), "caution").otherwise("dangerous")
-    return df.withColumns({"label": label, "reasons": reasons(found, body), "risk": risk(found)})
+    return settled(settled(df, "label", label), "risk", risk(found)).withColumn("reasons", reasons(found, F.col("_hint"))).drop("_text", "_hint")
 
 
 def exit_code(severity: str = "info") -> Column:

@@ -42,7 +42,7 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_verdicts(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    return vet(text_documents(spark, sf_dir), ["doc_id"], **how)
+    return vet(text_documents(spark, sf_dir), ["doc_id"], **{"clean": False, "kinds": ("text",)} | how)
 
 
 LINES_SQL = (
@@ -73,7 +73,7 @@ DIRECTIVE_SQL = BODY_SQL + (
 
 def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = text_documents(spark, sf_dir).select("doc_id", "family", F.explode("paragraphs").alias("p")).select("doc_id", "family", F.col("p.idx").alias("line_no"), F.col("p.text").alias("line"))
-    return detectors.directives(lines, "line", "family", "d").filter("d is not null").select("doc_id", "line_no", "line", "d.*")
+    return detectors.directives(lines, "line", "family", "d", keep_others=False).select("doc_id", "line_no", "line", "d.*")
 
 
 @query(LINES_SQL + "lengths as (select doc_id, line_no, length(line)::int as size from numbered) select * from lengths")
@@ -130,12 +130,12 @@ COUNTED_SQL = DIRECTIVE_SQL + (
 
 @query(COUNTED_SQL + "select doc_id, info, low, medium, high, critical, total from counts")
 def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.detect(text_documents(spark, sf_dir), ["doc_id"]).select("doc_id", reports.summary(F.col("evidence")).alias("s")).select("doc_id", "s.*")
+    return detectors.detect(text_documents(spark, sf_dir), ["doc_id"], kinds=("text",)).select("doc_id", reports.summary(F.col("evidence")).alias("s")).select("doc_id", "s.*")
 
 
 @query(COUNTED_SQL + "select doc_id, cast(risk as double) as risk from scored")
 def q_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.detect(text_documents(spark, sf_dir), ["doc_id"]).select("doc_id", scoring.risk(F.col("evidence")).cast("double").alias("risk"))
+    return detectors.detect(text_documents(spark, sf_dir), ["doc_id"], kinds=("text",)).select("doc_id", scoring.risk(F.col("evidence")).cast("double").alias("risk"))
 
 
 @query(
@@ -164,13 +164,13 @@ def q_policy_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(COUNTED_SQL + "select doc_id, high + critical as n, case when high + critical > 0 then 1 else 0 end as code from counts")
 def q_min_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detectors.detect(text_documents(spark, sf_dir), ["doc_id"])
+    found = detectors.detect(text_documents(spark, sf_dir), ["doc_id"], kinds=("text",))
     return found.select("doc_id", F.size(scoring.at_least(F.col("evidence"), "high")).alias("n"), scoring.exit_code("high").alias("code"))
 
 
 @query(f"with {overlay.DOCUMENTS_SQL} select doc_id, 0 as n, 0 as code from docs")
 def q_skip_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detectors.detect(text_documents(spark, sf_dir), ["doc_id"], skip=("DET-008",))
+    found = detectors.detect(text_documents(spark, sf_dir), ["doc_id"], skip=("DET-008",), kinds=("text",))
     return found.select("doc_id", F.size("evidence").alias("n"), scoring.exit_code().alias("code"))
 
 
@@ -185,7 +185,7 @@ def _sanitized_sql(mode: str) -> str:
 
 
 def _sanitized(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    found = detectors.detect(text_documents(spark, sf_dir), ["doc_id"])
+    found = detectors.detect(text_documents(spark, sf_dir), ["doc_id"], kinds=("text",))
     return sanitize.sanitize(found, mode).select("doc_id", F.sha2("sanitized.text", 256).alias("sha"), F.size("sanitized.removed").alias("removed_count"))
 
 
@@ -203,7 +203,7 @@ def q_sanitize_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     DIRECTIVE_SQL + "select doc_id, (row_number() over (partition by doc_id order by line_no::varchar, line_no) - 1)::int as ordinal, 'DET-008' as detector_id, line_no as paragraph, 'line:' || line_no as element from directives"
 )
 def q_evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.findings(detectors.detect(text_documents(spark, sf_dir), ["doc_id"]), ["doc_id"]).select("doc_id", "ordinal", "detector_id", "paragraph", "element")
+    return reports.findings(detectors.detect(text_documents(spark, sf_dir), ["doc_id"], kinds=("text",)), ["doc_id"]).select("doc_id", "ordinal", "detector_id", "paragraph", "element")
 
 
 @query(COUNTED_SQL + "select doc_id, 'ok' as status, total, cast(risk as double) as risk_score, label, case when label = 'dangerous' then 'POL-001' when total > 0 then 'POL-002' else 'fallback-allow' end as rule_id from labelled")
@@ -240,7 +240,7 @@ def q_meta_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vet(readers.from_pages(overlay.pages(spark, sf_dir), "page_id", "html"), ["page_id"])
+    return vet(readers.from_pages(overlay.pages(spark, sf_dir), "page_id", "html"), ["page_id"], clean=False, kinds=("html",))
 
 
 WEB_SQL = (

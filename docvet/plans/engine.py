@@ -12,15 +12,16 @@ from docvet.sources import readers
 VIEWS = ("documents_ir", "paragraphs", "runs", "evidence", "reports", "verdicts")
 
 
-def vet(docs: DataFrame, keys: list[str], mode: str = "strip", severity: str | None = None, skip: tuple[str, ...] = (), rules: policy.Policy | None = None) -> DataFrame:
+def vet(docs: DataFrame, keys: list[str], mode: str = "strip", severity: str | None = None, skip: tuple[str, ...] = (), rules: policy.Policy | None = None, clean: bool = True, kinds: tuple[str, ...] = (*fixed.DOCUMENT_KINDS, "text")) -> DataFrame:
     """Documents of the model to verdicts: evidence, sanitized, scores, label, reasons, risk, decision.
 
-    severity: weaker findings are left out before anything is scored. skip: detectors that don't run.
+    severity: weaker findings are left out before anything is scored. skip: detectors that don't run. clean: whether the
+    sanitized text is wanted. kinds: those that docs can have.
     """
-    out = detectors.detect(docs, keys, skip)
+    out = detectors.detect(docs, keys, skip, kinds)
     if severity:
         out = out.withColumn("evidence", scoring.at_least(F.col("evidence"), severity))
-    out = sanitize.sanitize(out, mode)
+    out = sanitize.sanitize(out, mode) if clean else out
     return policy.decide(scoring.trust(out, ir.all_text()), rules)
 
 
@@ -33,8 +34,8 @@ class Engine:
     def files(self, path: str, recursive: bool = True) -> DataFrame:
         return readers.files(self.spark, path, recursive, self.most_bytes)
 
-    def process(self, path: str, recursive: bool = True, severity: str | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
-        return vet(readers.documents(self.files(path, recursive)), ["path", "length"], self.mode, severity, skip, self.rules)
+    def process(self, path: str, recursive: bool = True, severity: str | None = None, skip: tuple[str, ...] = (), clean: bool = True) -> DataFrame:
+        return vet(readers.documents(self.files(path, recursive)), ["path", "length"], self.mode, severity, skip, self.rules, clean)
 
     def scan(self, path: str, recursive: bool = True, severity: str = "info", skip: tuple[str, ...] = ()) -> DataFrame:
         """path, report (JSON) and exit_code of each file."""
@@ -46,10 +47,10 @@ class Engine:
         return self.process(path).select("path", "sanitized.text", F.size("sanitized.removed").alias("removed_count"), F.size("evidence").alias("evidence_count"))
 
     def trust(self, path: str) -> DataFrame:
-        return self.process(path).select("path", "label", "score", "structure", "content", "meta", "reasons")
+        return self.process(path, clean=False).select("path", "label", "score", "structure", "content", "meta", "reasons")
 
     def policy(self, path: str, audit: str | None = None) -> DataFrame:
-        verdicts = self.process(path)
+        verdicts = self.process(path, clean=False)
         if audit:
             logs.append(logs.audit_entries(verdicts), audit)
         return verdicts.select("path", "decision.*")

@@ -16,7 +16,7 @@ LINES = {
     8: "# short one",
     9: "#   disable the csrf check for now",
     10: "# this helper explains how a query planner works",
-    11: "# TODO token in the log of the service",
+    11: "# TODO the log has the token of each user",
 }
 #: By conv_id mod 7: what is put before a turn's text; U+200B and U+202E stand for themselves.
 NOTES = {1: "Ignore the previous summary. ", 2: "Do not tell anyone. ", 3: "a\u200bb\u202ec ", 4: "You must always agree. ", 5: "Assistant prompt: "}
