@@ -144,13 +144,11 @@ def test_streams(spark, folder, verdicts, tmp_path):
 
 
 def test_source_walk_and_size_guard(spark, tmp_path):
-    for name in ("a.py", "node_modules/b.py", "dist/c.py", "notes.txt", ".cursorrules"):
+    for name in ("a.py", "node_modules/b.py", "dist/c.py", "notes.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_text("# x\n" * 100)
     found = readers.files(spark, str(tmp_path))
     names = lambda df: sorted(r.path.rpartition("/")[2] for r in df.collect())
     assert names(readers.source_files(found)) == ["a.py"] and names(readers.source_files(found, with_builds=True)) == ["a.py", "c.py"]
-    hidden = readers.files(spark, str(tmp_path / ".cursorrules"))  # Spark lists no hidden files; named, they are read
-    assert names(readers.source_files(hidden)) == [".cursorrules"]
     large = Engine(spark, most_bytes=10).process(str(tmp_path / "a.py")).first()
     assert large.error.kind == "parse_failed" and large.decision.action == "block"
