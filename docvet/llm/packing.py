@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docvet.llm import kernels
-from docvet.llm.shared import numbered, stored
+from docvet.llm.shared import numbered, small_batches, stored
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; a worker that has more starts anew.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -235,6 +235,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     among those of its length. Repeated rows are packed one by one. No documents: no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(token_pieces(tokenizer, capacity), PIECES), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan: dict[int, list[tuple]] = {}

@@ -6,11 +6,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docvet.llm import kernels
-from docvet.llm.shared import stored
+from docvet.llm.shared import small_batches, stored
 
 #: Labelled rows that the classifier is fitted on, at most, chosen by a hash of doc_id; features that it may use.
 SAMPLE_ROWS, FEATURES = 20_000, 256
@@ -57,43 +58,47 @@ def _folded(data: np.ndarray) -> np.ndarray:
 
 
 def _parts(column: pa.Array):
-    """Parts of at most CHUNK bytes of the texts: first text, edges between texts, bytes. A longer text comes in several."""
+    """Parts of at most CHUNK bytes of the texts: first text, edges between texts, bytes, whether the text goes on."""
     data, offsets = kernels.texts_of(column)
     for i, j in kernels.spans_of(offsets):
         part = data[offsets[i] : offsets[j]]
         if len(part) <= kernels.CHUNK:
-            yield i, (offsets[i + 1 : j] - offsets[i]).astype(np.int64), _folded(part)
+            yield i, (offsets[i + 1 : j] - offsets[i]).astype(np.int64), _folded(part), False
         else:
             for some in kernels.cut_at_spaces(part):
-                yield i, np.zeros(0, np.int64), _folded(some)
+                yield i, np.zeros(0, np.int64), _folded(some), True
+            yield i, np.zeros(0, np.int64), np.zeros(0, np.uint8), False
+
+
+def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    t, h = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    order = np.lexsort((h, t))
+    t, h = t[order], h[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
+    return t[new], h[new]
 
 
 def features(column: pa.Array, chosen: Chosen | None = None):
-    """Yields (texts, hashes): each word's whole, beginnings and ends, with the text that it stands in; chosen: those only."""
-    for i, edges, part in _parts(column):
+    """Yields (texts, hashes), distinct, for runs of texts: each word's whole, beginnings and ends; chosen: only those, as
+    their places. A text's features come at once, so what is held is that of CHUNK bytes or of one longer text."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, edges, part, more in _parts(column):
         start, end = kernels.words(part, edges, _APART)
         text = i + np.searchsorted(edges, start, side="right")
         prefix = kernels.Prefix(part)
         size = end - start
+        got = []
         for kind, n in [(0, 0), *((1, n) for n in HEADS), *((2, n) for n in TAILS)]:
             which = np.flatnonzero(size > n) if n else slice(None)
             s, e = start[which], end[which]
             h = prefix.of(e - n, e) if kind == 2 else prefix.of(s, s + n) if kind else prefix.of(s, e)
-            h = kernels.mix(h + np.uint64(kind * 16 + n))
-            t = text[which]
-            if chosen is not None:
-                h, t = chosen.find(h, t)
-            yield t, h
-
-
-def texts_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (text, hash) of all texts of the column."""
-    got = list(features(column))
-    t, h = (np.concatenate([x[k] for x in got]) if got else np.zeros(0, np.int64 if k == 0 else np.uint64) for k in (0, 1))
-    order = np.lexsort((h, t))
-    t, h = t[order], h[order]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])]) if len(t) else np.zeros(0, bool)
-    return t[new].astype(np.int64), h[new]
+            h, t = kernels.mix(h + np.uint64(kind * 16 + n)), text[which]
+            got.append(chosen.find(h, t)[::-1] if chosen is not None else (t, h))
+        held.append(_distinct(got))
+        if not more:
+            yield _distinct(held) if len(held) > 1 else held[0]
+            held = []
 
 
 class Chosen:
@@ -116,20 +121,17 @@ class Chosen:
 
     def rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The distinct (text, place) of the texts."""
-        got = [t * np.int64(len(self.hashes)) + h for t, h in features(column, self)]
-        pairs = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
-        return (pairs // len(self.hashes), pairs % len(self.hashes)) if len(self.hashes) else (pairs, pairs)
+        got = list(features(column, self)) if len(self.hashes) else []
+        return tuple(np.concatenate([g[k] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64) for k in (0, 1))
 
 
 def _counts(batches):
     for batch in batches:
         toxic = batch.column(1).to_numpy()
-        t, h = texts_features(batch.column(0))
-        names, back = np.unique(h, return_inverse=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names.view(np.int64)), pa.array(np.bincount(back, minlength=len(names)).astype(np.int64)), pa.array(np.bincount(back, weights=toxic[t], minlength=len(names)).astype(np.int64))],
-            ["feature", "texts", "toxic"],
-        )
+        for t, h in features(batch.column(0)):
+            names, back = np.unique(h, return_inverse=True)
+            texts, bad = np.bincount(back, minlength=len(names)), np.bincount(back, weights=toxic[t], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(texts.astype(np.int64)), pa.array(bad.astype(np.int64))], ["feature", "texts", "toxic"])
 
 
 def _sample_rows(hashes: np.ndarray):
@@ -211,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = COUNTERFACTUAL) -
     document teach nothing; without labels of both kinds the score is the same for every text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     taught = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     taught = stored(taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS), "taught")  # at most SAMPLE_ROWS short rows
     sample = docs.select("doc_id", "text").join(F.broadcast(taught.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("text", "toxic")
@@ -229,19 +232,19 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = COUNTERFACTUAL) -
     return Model(hashes, w, b)
 
 
-def _scorer(model: Model, at: int, schema: list[str]):
+def _scorer(model: Model):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(at)), pa.float64())], [*schema, "_score"])
+            text = pc.struct_field(batch.column(0), "text")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(text), pa.float64())], ["_doc", "_score"])
 
     return run
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and a column _score. Null and empty texts get the score of no features."""
-    inner = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
-    schema = "struct<" + ",".join(f"`{c}`:{t}" for c, t in docs.dtypes) + ">"
-    return inner.mapInArrow(_scorer(model, 1, ["_doc", "_text"]), f"_doc {schema}, _text string, _score double").select("_doc", "_score")
+    """The rows of docs as _doc, and their _score. Null and empty texts get the score of no features."""
+    schema = ",".join(f"`{c}`:{t}" for c, t in docs.dtypes)
+    return docs.select(F.struct(*docs.columns).alias("_doc")).mapInArrow(_scorer(model), f"_doc struct<{schema}>, _score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
