@@ -71,6 +71,10 @@ class Prefix:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLE[data] * _POW[: len(data)], out=self.sums[1:])
 
+    def grams(self, n: int) -> np.ndarray:
+        """of() for all ranges of n bytes."""
+        return mix((self.sums[n:] - self.sums[:-n]) * _POW_INV[: len(self.sums) - n] + np.uint64(n))
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * _POW_INV[start] + (end - start).astype(np.uint64))
 

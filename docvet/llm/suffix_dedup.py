@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docvet.llm import kernels
-from docvet.llm.shared import stored
+from docvet.llm.shared import release_shuffles, small_batches, stored
 
 #: Length of a repeated string; of the grams by which candidates are found.
 WINDOW, GRAM = 50, 24
 #: Bytes of texts in a chunk, the unit of work; anchors in a part; bytes of a shard of which one transform is made.
-CHUNK_BYTES, PART_ANCHORS, SHARD_BYTES = 1 << 20, 1_000_000, 1 << 18
+CHUNK_BYTES, PART_ANCHORS, SHARD_BYTES = 1 << 20, 300_000, 1 << 18
 NOBODY = np.iinfo(np.int64).max  # doc_id of documents without one: behind all others
 END = 0xFF  # stands in no UTF-8 text
 
@@ -45,47 +45,47 @@ def suffix_order(text: np.ndarray, depth: int = 256) -> np.ndarray:
 
 
 def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The byte before each suffix, in their order; before the first the last."""
-    return text[order - 1]
+    """The two bytes before each suffix, in their order; before the first the last."""
+    return (text[order - 2].astype(np.uint16) << np.uint16(8)) | text[order - 1]
 
 
 def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges transforms without sorting their suffixes: of each place in the merged order the shard, and the common prefix
-    with the place before, at most depth.
+    """Merges transforms without sorting their suffixes: of each place in the merged order the shard, and whether the depth
+    bytes from there are those of the place before. transforms hold the two bytes before each suffix; depth is even.
 
-    Holt and McMillan's refinement: if the interleaving of the shards is right for prefixes of k bytes, then dealing its
-    places in turn into one bucket for each preceding byte makes it right for k + 1. Two neighbours first told apart in
-    round k have k - 1 bytes in common.
+    Holt and McMillan's refinement, two bytes at a time: if the interleaving of the shards is right for prefixes of k bytes,
+    then dealing its places in turn into one bucket for each two preceding bytes makes it right for k + 2. Places that no
+    round has told apart have a common prefix of depth.
     """
     n = sum(map(len, transforms))
     flat = np.concatenate(transforms)
     shard = np.repeat(np.arange(len(transforms), dtype=U8), [len(t) for t in transforms])
-    common = np.full(n, depth, I64)
     block = np.zeros(n, np.int32)
-    byte = np.empty(n, U8)
-    for k in range(1, depth + 1):
-        byte[np.argsort(shard, kind="stable")] = flat
-        to = np.argsort(byte, kind="stable")
+    apart = np.zeros(n, bool)
+    pair = np.empty(n, np.uint16)
+    for _ in range(0, depth, 2):
+        pair[np.argsort(shard, kind="stable")] = flat
+        to = np.argsort(pair, kind="stable").astype(np.int32)
         shard = shard[to]
-        sorted_, came = byte[to], block[to]
-        apart = np.concatenate([[True], (sorted_[1:] != sorted_[:-1]) | (came[1:] != came[:-1])])
-        common[apart & (common == depth)] = k - 1
+        sorted_, came = pair[to], block[to]
+        apart[0] = True
+        np.logical_or(sorted_[1:] != sorted_[:-1], came[1:] != came[:-1], out=apart[1:])
         block = np.cumsum(apart, dtype=np.int32)
         if block[-1] == n:
             break
-    return shard, common
+    return shard, ~apart
 
 
 def repeat_classes(texts: list[np.ndarray], depth: int) -> np.ndarray:
     """For every place of the shards' texts, one behind the other, the class of the depth bytes from there on: from the
     merged transforms, equal for places in one interval of common prefixes of at least depth."""
     orders = [suffix_order(t) for t in texts]
-    shard, common = interleave([transform(t, o) for t, o in zip(texts, orders, strict=True)], depth)
+    shard, equal = interleave([transform(t, o) for t, o in zip(texts, orders, strict=True)], depth)
     place = np.empty(len(shard), I64)
     starts = np.cumsum([0, *(len(t) for t in texts[:-1])])
     place[np.argsort(shard, kind="stable")] = np.concatenate([o + s for o, s in zip(orders, starts, strict=True)])
     out = np.empty(len(shard), I64)
-    out[place] = np.cumsum(common < depth)
+    out[place] = np.cumsum(~equal)
     return out
 
 
@@ -104,9 +104,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         part = data[at : at + kernels.CHUNK]
         m = len(part)
         prefix = kernels.Prefix(part)
-        start = np.arange(m - GRAM + 1)
-        h = prefix.of(start, start + GRAM)
-        least = (h & ~U64((1 << 21) - 1)) | start.astype(U64)
+        h = prefix.grams(GRAM)
+        least = (h & ~U64((1 << 21) - 1)) | np.arange(len(h), dtype=U64)
         size = 1
         while 2 * size <= wide:
             least = np.minimum(least[:-size], least[size:])
@@ -140,12 +139,11 @@ class Chunk:
         self.data = np.frombuffer(data, U8)
         lo, count, off, (h, sig) = anchors(self.data, self.ends)
         part = ((h >> U64(44)) % U64(parts)).astype(I64)
-        order = np.lexsort((sig, h, part))
+        order = np.argsort((part.astype(U64) << U64(44)) | (h & U64((1 << 44) - 1)), kind="stable")
         self.lo, self.count, self.off, self.h, self.sig, self.part = (x[order] for x in (lo, count, off, h, sig, part))
         known = np.array([NOBODY if d is None else d for d in docs], I64)
         self.doc = known[np.searchsorted(self.ends, self.lo, side="right")]
-        new = np.concatenate([[True], (self.h[1:] != self.h[:-1]) | (self.part[1:] != self.part[:-1])]) if len(self.h) else np.zeros(0, bool)
-        self.grams = np.flatnonzero(new)  # the first anchor of each gram
+        self.grams = np.flatnonzero(_first(self.h))  # the first anchor of each gram
 
     def prints(self):
         """Yields (part, packed): five bytes of each distinct gram's hash in order; the last bit tells if several documents have it."""
@@ -168,7 +166,9 @@ class Chunk:
             a, b = np.searchsorted(part, m["part"]), np.searchsorted(part, m["part"], side="right")
             shared[a:b] = np.unpackbits(np.frombuffer(m["bits"], U8), count=b - a).astype(bool)
         which = np.repeat(shared, np.diff(np.append(self.grams, len(self.h))))
-        self.lo, self.count, self.off, self.h, self.sig, self.part, self.doc = (x[which] for x in (self.lo, self.count, self.off, self.h, self.sig, self.part, self.doc))
+        gram = (np.cumsum(which & _first(self.h)) - 1)[which]
+        order = np.flatnonzero(which)[np.lexsort((self.sig[which], gram))]
+        self.lo, self.count, self.off, self.h, self.sig, self.part, self.doc = (x[order] for x in (self.lo, self.count, self.off, self.h, self.sig, self.part, self.doc))
         new = np.concatenate([[True], (self.sig[1:] != self.sig[:-1]) | (self.h[1:] != self.h[:-1])]) if len(self.h) else np.zeros(0, bool)
         self.entries = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1
@@ -183,7 +183,7 @@ class Chunk:
         for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
             e = self.entries[a:b]
             text = self.data[_ranges(lo[a:b], count[a:b] + WINDOW - 1)]
-            yield int(part[a]), self.h[e].tobytes(), self.sig[e].tobytes(), count[a:b].astype(U8).tobytes(), least[a:b].tobytes(), text.tobytes()
+            yield int(part[a]), self.h[e].tobytes(), self.sig[e].tobytes(), count[a:b].astype(U8).tobytes(), _squeezed(least[a:b].tobytes()), _squeezed(text.tobytes())
 
     def removed(self, results: dict[int, bytes]) -> np.ndarray:
         """For each byte whether a window over it also starts in a document with a smaller doc_id."""
@@ -206,6 +206,13 @@ class Chunk:
         return np.cumsum(step[:-1]) > 0
 
 
+def _first(x: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ..., count[0] numbers, then those of the next."""
     ends = np.cumsum(count)
@@ -269,12 +276,21 @@ def least_docs(h: np.ndarray, sig: np.ndarray, count: np.ndarray, doc: np.ndarra
 # ---- tasks ---------------------------------------------------------------------------------------------------------------
 
 
+def _squeezed(data: bytes) -> bytes:
+    """Chunks and strings travel compressed: they are the bulk of what is written and shuffled."""
+    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def _whole(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def _to_chunks(batches):
     """Texts in rows of about CHUNK_BYTES; a longer text is a row by itself."""
     docs, ends, parts, size = [], [], [], 0
 
     def row():
-        return pa.RecordBatch.from_arrays([pa.array([docs], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())], ["docs", "ends", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([docs], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([_squeezed(b"".join(parts))], pa.binary())], ["docs", "ends", "data"])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -293,7 +309,8 @@ def _to_chunks(batches):
 def _chunks(batch: pa.RecordBatch, parts: int):
     for k in range(batch.num_rows):
         row = {name: batch.column(name)[k] for name in batch.schema.names}
-        yield row, Chunk(row["docs"].as_py(), row["ends"].as_py(), row["data"].as_py(), parts)
+        ends = row["ends"].as_py()
+        yield row, Chunk(row["docs"].as_py(), ends, _whole(row["data"].as_py(), ends[-1]), parts)
 
 
 def _prints(parts: int):
@@ -343,6 +360,8 @@ def _strings(parts: int):
 def _solved(table: pa.Table) -> pa.Table:
     cols = {c: table.column(c).to_pylist() for c in ("h", "sig", "counts", "doc", "text")}
     n = np.array([len(c) for c in cols["counts"]])
+    cols["doc"] = [_whole(d, 8 * k) for d, k in zip(cols["doc"], n.tolist(), strict=True)]
+    cols["text"] = [_whole(t, sum(c) + (WINDOW - 1) * len(c)) for t, c in zip(cols["text"], cols["counts"], strict=True)]
     joined = {c: np.frombuffer(b"".join(v), t) for (c, v), t in zip(cols.items(), (U64, U64, U8, I64, U8), strict=True)}
     runs, lens, docs = least_docs(joined["h"], joined["sig"], joined["counts"].astype(I64), joined["doc"], joined["text"])
     entry, run = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(runs)])
@@ -387,18 +406,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A part's size is fixed, their number grows with the input. A gram that is everywhere comes to its part once per chunk.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_to_chunks, "docs array<long>, ends array<long>, data binary")
     chunks = stored(rows.select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
     size = chunks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     parts = max(8, -(-size * 2 // (WINDOW - GRAM + 2) // PART_ANCHORS))
 
-    prints = chunks.mapInArrow(_prints(parts), "part int, chunk long, prints binary")
-    masks = stored(prints.groupBy("part").applyInArrow(_shared, "chunk long, part int, bits binary"), "masks")
-    spark.sparkContext._jvm.System.gc()  # lets the shuffle files that nothing refers to any more go
+    masks = stored(chunks.mapInArrow(_prints(parts), "part int, chunk long, prints binary").groupBy("part").applyInArrow(_shared, "chunk long, part int, bits binary"), "masks")
+    release_shuffles(spark)
     by_chunk = masks.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("masks"))
-    strings = chunks.join(by_chunk, "chunk", "left").mapInArrow(_strings(parts), "part int, chunk long, h binary, sig binary, counts binary, doc binary, text binary")
-    results = stored(strings.groupBy("part").applyInArrow(_solved, "chunk long, part int, runs binary"), "results")
-    spark.sparkContext._jvm.System.gc()
+    fields = "part int, chunk long, h binary, sig binary, counts binary, doc binary, text binary"
+    results = stored(
+        chunks.join(by_chunk, "chunk", "left").mapInArrow(_strings(parts), fields).groupBy("part").applyInArrow(_solved, "chunk long, part int, runs binary"), "results"
+    )
+    release_shuffles(spark)
     solved = results.groupBy("chunk").agg(F.collect_list(F.struct("part", "runs")).alias("results"))
     found = chunks.join(by_chunk, "chunk", "left").join(solved, "chunk", "left")
     return found.mapInArrow(_report(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
