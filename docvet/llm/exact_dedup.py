@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docvet.llm.shared import few, new_path, remove, stored
+from docvet.llm.shared import few, new_path, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The state lies on disk; without fallocate, so that many small stores don't each reserve megabytes.
@@ -131,8 +131,3 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     gone = exact_dedup(docs).filter("not kept").select("at")
     gone = few(stored(gone, "gone"))
     return source.join(gone, source["_at"] == gone["at"], "left_anti").drop("_at")
-
-
-def release(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        remove(spark, path)

@@ -38,12 +38,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that stored() or new_path() made, once nothing reads it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more. It does so when the driver's garbage is
     collected, which a driver with little to do puts off while executors' disks fill."""
