@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docvet.llm.shared import few, new_path, stored
+from docvet.llm.shared import few, from_files, new_path, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The state lies on disk; without fallocate, so that many small stores don't each reserve megabytes.
@@ -26,17 +26,6 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def from_files(docs: DataFrame) -> DataFrame:
-    """docs that come straight from files as they are, others written to the shared folder first."""
-    try:
-        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018  resolves the column
-        return docs
-    except Exception as e:
-        if type(e).__name__ != "AnalysisException":
-            raise
-        return stored(docs, "located")
-
-
 def located(docs: DataFrame) -> DataFrame:
     """docs with _at: the file (a hash of its path) and the row there of each document."""
     meta = docs.metadataColumn("_metadata")

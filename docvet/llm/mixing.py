@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docvet.llm.shared import numbered, stored
+from docvet.llm.shared import from_files, numbered
 
 #: Rows of a block, the unit that is scheduled; slots of the period that weights are rounded to.
 BLOCK_ROWS, PERIOD = 32, 1024
@@ -117,6 +117,6 @@ def _placed(docs: DataFrame, carried: list[str], weights: dict[str | None, float
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.7, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """The rows of docs, all columns, ranged and sorted by their position in the mix: files written from it follow the mix."""
-    order = _placed(stored(docs, "unmixed"), docs.columns, weights, power, block_rows, period)
+    order = _placed(from_files(docs), docs.columns, weights, power, block_rows, period)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return order.select("_doc", "position").repartitionByRange(parts, "position").sortWithinPartitions("position").select("_doc.*")
