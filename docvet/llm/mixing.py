@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
-
-from pyspark.sql import DataFrame
+import itertools
+import math
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvet.llm.shared import from_files, numbered
+from docvet.llm.shared import from_files, new_path, numbered
 
-#: Rows of a block, the unit that is scheduled; slots of the period that weights are rounded to.
+#: Rows of a block, the unit that is scheduled; blocks of a source in one row of the plan.
 BLOCK_ROWS, PERIOD = 32, 1024
+#: Blocks, of about 40 bytes, of a plan that is broadcast; beyond it the plan is written and joined by a shuffle.
+BROADCAST_BLOCKS = 1_000_000
 #: The sources are a dimension that the weights name; the plan's size is the square of their number.
 MAX_SOURCES = 2000
 
@@ -26,52 +35,93 @@ def shares(weights: list[float], period: int) -> list[int]:
     return out
 
 
-def pfair(slots: list[int]) -> list[list[int]]:
-    """The slots of one period that each source gets. Block j of a source with c of D slots is released at floor(j D / c) and
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the ratio of the weights; where all are 0, equal ones."""
+    if not all(math.isfinite(w) and w >= 0 for w in weights):
+        raise ValueError("weights must be finite and not negative")
+    exact = [Fraction(w) for w in weights] if any(weights) else [Fraction(1)] * len(weights)
+    d = math.lcm(*(x.denominator for x in exact))
+    out = [int(x * d) for x in exact]
+    return [x // math.gcd(*out) for x in out]
+
+
+def dealt(weights: list[int]) -> Iterator[int]:
+    """The source of each slot, without end. Block j of a source with weight c of D is released at floor(j D / c) and
     due at ceil((j + 1) D / c); of the released blocks the one due first goes first, of several the lower source's."""
-    period = sum(slots)
-    given: list[list[int]] = [[] for _ in slots]
-    waiting = [(0, k) for k in range(len(slots))]
+    total = sum(weights)
+    given = [0] * len(weights)
+    waiting = [(0, k) for k in range(len(weights))]
     ready: list[tuple[int, int]] = []
-    heapq.heapify(waiting)
-    for t in range(period):
+    for t in itertools.count():
         while waiting and waiting[0][0] <= t:
             _, k = heapq.heappop(waiting)
-            ready_due = -(-(len(given[k]) + 1) * period // slots[k])
-            heapq.heappush(ready, (ready_due, k))
-        due, k = heapq.heappop(ready)  # the weights fill the period, so some block is always released
+            heapq.heappush(ready, (-(-(given[k] + 1) * total // weights[k]), k))
+        due, k = heapq.heappop(ready)  # the weights fill the slots, so some block is always released
         assert t < due
+        given[k] += 1
+        heapq.heappush(waiting, (given[k] * total // weights[k], k))
+        yield k
+
+
+def pfair(slots: list[int]) -> list[list[int]]:
+    """The slots of one period, whose length is the sum of slots, that each source gets."""
+    given: list[list[int]] = [[] for _ in slots]
+    for t, k in enumerate(itertools.islice(dealt(slots), sum(slots))):
         given[k].append(t)
-        if (j := len(given[k])) < slots[k]:
-            heapq.heappush(waiting, (j * period // slots[k], k))
     return given
 
 
 def phases(blocks: list[int], weights: list[float], period: int) -> list[list[tuple]]:
-    """Per source its phases (first block, end block, first slot, slots of the period, period, those slots). A phase lasts
-    until a source has no block left; the others' weights then share what it had, and their lags start anew."""
+    """Per source its phases (first block, end block, first slot, weight, sum of weights, slots of its blocks from the phase's
+    first). Weights are whole numbers in their exact ratio, multiplied so that none is below the phase's blocks or the period.
+    A phase lasts until a source has no block left; the others' weights then share what it had, and their lags start anew.
+    Sources of weight 0 come when all others have ended."""
     left, done, base = list(blocks), [0] * len(blocks), 0
     out: list[list[tuple]] = [[] for _ in blocks]
-    while active := [k for k, n in enumerate(left) if n]:
-        d = max(period, 4 * len(active))
-        c = shares([weights[k] for k in active], d)
-        given = pfair(c)
-        end = min((left[k] - 1) // c[i] * d + given[i][(left[k] - 1) % c[i]] for i, k in enumerate(active)) + 1
+    while any(left):
+        active = [k for k, n in enumerate(left) if n and weights[k]] or [k for k, n in enumerate(left) if n]
+        c = whole([weights[k] for k in active])
+        given = [array("q") for _ in active]
+        end = 0
+        for i in dealt(c):
+            given[i].append(end)
+            end += 1
+            if len(given[i]) == left[active[i]]:
+                break
+        more = -(-max(period, end) // min(c))
         for i, k in enumerate(active):
-            n = end // d * c[i] + sum(s < end % d for s in given[i])
+            n = len(given[i])
             if n:
-                out[k].append((done[k], done[k] + n, base, c[i], d, given[i]))
+                out[k].append((done[k], done[k] + n, base, c[i] * more, sum(c) * more, given[i]))
             done[k] += n
             left[k] -= n
         base += end
     return out
 
 
+def plan_rows(blocks: list[int], rows: list[int], planned: list[list[tuple]], block_rows: int, period: int) -> Iterator[tuple]:
+    """Of each source (by number) and each period of its blocks: source, number of the period, and of each block in it the
+    phase, slot, release, deadline and the position of its first row."""
+    short = sorted((p[-1][2] + p[-1][5][-1], block_rows - n % block_rows) for n, p in zip(rows, planned, strict=True) if n % block_rows)
+    ends, lacking = [s for s, _ in short], [0, *itertools.accumulate(n for _, n in short)]
+    bases = sorted({p[2] for ps in planned for p in ps})
+    for k, ps in enumerate(planned):
+        each = (
+            (phase, base + slot, base + b * d // c, base - (-(b + 1) * d // c), (base + slot) * block_rows - lacking[bisect.bisect_left(ends, base + slot)])
+            for _, _, base, c, d, given in ps
+            for phase in [bisect.bisect_left(bases, base)]
+            for b, slot in enumerate(given)
+        )
+        for chunk in range(-(-blocks[k] // period)):
+            yield k, chunk, *map(list, zip(*itertools.islice(each, period), strict=True))
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.7, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """One row per row of docs: doc_id, source, phase, block, slot, release, deadline, position.
 
     Each source's rows, in a fixed pseudo-random order, are cut into blocks of block_rows; the Pfair schedule deals slots
-    to blocks so that after any number of slots of a phase a source is less than one block from its weight's share.
+    to blocks so that after any number of slots of a phase a source is less than one block from its weight's exact share.
+    The driver plans every block; period is the number of blocks in one row of the plan and changes no result.
     weights: by source; a source that they don't name, null too, gets its row count to the given power (of all sources
     where weights is None). When a source ends, the rest go on at their weights, so every row is placed exactly once.
     position numbers all rows from 0 without gaps in the order of the mix.
@@ -90,31 +140,41 @@ def _placed(docs: DataFrame, carried: list[str], weights: dict[str | None, float
         raise ValueError(f"over {MAX_SOURCES} sources: give documents a coarser source")
     total = sum(n for _, n in counts)
     given = {("null" if k is None else f"={k}"): v for k, v in (weights or {}).items()}
-    planned = phases([-(-n // block_rows) for _, n in counts], [given.get(s, n**power) for s, n in counts], period)
-    schema = "_src string, _phases array<struct<first: long, end: long, base: long, c: int, d: int, given: array<int>>>"
-    plan = F.broadcast(spark.createDataFrame([(s, p) for (s, _), p in zip(counts, planned, strict=True)], schema))
-    short = []  # slot of each source's last block, and rows that it lacks
-    for (_, n), p in zip(counts, planned, strict=True):
-        first, end, base, c, d, slots = p[-1]
-        if n % block_rows:
-            short.append((base + (end - 1 - first) // c * d + slots[(end - 1 - first) % c], block_rows - n % block_rows))
-
-    out = numbered(rows, "_src", ["_id", "_text"], "_row", total, "mix").join(plan, "_src")
-    out = out.withColumn("block", F.expr(f"_row div {block_rows}"))
-    out = out.withColumn("_p", F.expr("filter(_phases, p -> block >= p.first and block < p.end)[0]")).withColumn("_b", F.expr("block - _p.first"))
-    out = out.withColumn("slot", F.expr("_p.base + (_b div _p.c) * _p.d + _p.given[cast(_b % _p.c as int)]"))
-    lacking = " + ".join(f"if(slot > {s}, {n}, 0)" for s, n in short) or "0"
+    blocks = [-(-n // block_rows) for _, n in counts]
+    planned = phases(blocks, [given.get(s, n**power) for s, n in counts], period)
+    plan = _table(spark, [s for s, _ in counts], plan_rows(blocks, [n for _, n in counts], planned, block_rows, period), sum(blocks), period)
+
+    out = numbered(rows, "_src", ["_id", "_text"], "_row", total, "mix")
+    out = out.withColumn("block", F.expr(f"_row div {block_rows}")).withColumn("_chunk", F.expr(f"block div {period}")).join(plan, ["_src", "_chunk"])
+    of = lambda name: F.expr(f"{name}[cast(block % {period} as int)]")
     return out.select(
         "_doc",
-        F.expr("cast(array_position(transform(_phases, p -> p.base), _p.base) - 1 as int)").alias("phase"),
+        of("_phases").alias("phase"),
         "block",
-        "slot",
-        F.expr("_p.base + (_b * _p.d) div _p.c").alias("release"),
-        F.expr("_p.base + ((_b + 1) * _p.d + _p.c - 1) div _p.c").alias("deadline"),
-        F.expr(f"slot * {block_rows} + _row % {block_rows} - ({lacking})").alias("position"),
+        of("_slots").alias("slot"),
+        of("_releases").alias("release"),
+        of("_deadlines").alias("deadline"),
+        (of("_starts") + F.expr(f"_row % {block_rows}")).alias("position"),
     )
 
 
+def _table(spark: SparkSession, names: list[str], planned: Iterator[tuple], blocks: int, period: int) -> DataFrame:
+    """The plan's rows, broadcast if they have few blocks, else written a part at a time and joined by a shuffle."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("_src", pa.string()), ("_chunk", pa.int64()), ("_phases", pa.list_(pa.int32())), ("_slots", longs), ("_releases", longs), ("_deadlines", longs), ("_starts", longs)])
+
+    def part(some: list[tuple]) -> DataFrame:
+        cols = list(zip(*some, strict=True)) or [[]] * len(schema)
+        return spark.createDataFrame(pa.table([pa.array([names[k] for k in cols[0]], pa.string()), *map(pa.array, cols[1:], schema.types[1:])], schema=schema))
+
+    if blocks <= BROADCAST_BLOCKS:
+        return F.broadcast(part(list(planned)))
+    path = new_path(spark, "plan")
+    while some := list(itertools.islice(planned, max(1, BROADCAST_BLOCKS // period))):
+        part(some).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.7, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """The rows of docs, all columns, ranged and sorted by their position in the mix: files written from it follow the mix."""
     order = _placed(from_files(docs), docs.columns, weights, power, block_rows, period)

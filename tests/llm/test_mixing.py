@@ -55,3 +55,24 @@ def test_mixed_keeps_rows_in_order(spark, tmp_path):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).count() == 0 and mixing.mixed(docs).count() == 0
+
+
+def test_lag_against_the_given_weights_over_many_periods():
+    for blocks, weights in [([40, 20000], [0.001, 0.999]), ([3000] + [300] * 19, [1e6**0.7] + [1e5**0.7] * 19), ([3000, 3000, 5], [1e7**0.7, 1e7**0.7, 5e3**0.7])]:
+        first = [p[0] for p in mixing.phases(blocks, weights, 64)]
+        of = {base + b // c * d + slots[b % c]: k for k, (start, end, base, c, d, slots) in enumerate(first) if base == 0 for b in range(end - start)}
+        done, total = [0] * len(blocks), sum(map(Fraction, weights))
+        for t in range(len(of)):
+            done[of[t]] += 1
+            assert all(abs(n - Fraction(w) * (t + 1) / total) < 1 for n, w in zip(done, weights, strict=True))
+
+
+def test_written_plan_places_the_same_rows(spark, monkeypatch):
+    docs = rows_of(spark)
+    given_ = {"hot": 0.7123, "s0": 0.001, "s1": 0.0, None: 0.5}
+    want = sorted(map(str, mixing.mix(docs, given_, block_rows=4, period=8).collect()))
+    assert sorted(map(str, mixing.mix(docs, given_, block_rows=4, period=1000).collect())) == want
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 20)
+    assert sorted(map(str, mixing.mix(docs, given_, block_rows=4, period=8).collect())) == want
+    out = mixing.mix(docs, given_, block_rows=4, period=8).orderBy("position").collect()
+    assert [r.position for r in out] == list(range(704)) and all(r.release <= r.slot < r.deadline for r in out)
