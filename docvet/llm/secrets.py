@@ -15,11 +15,16 @@ BASE = {
 }
 #: Cheap patterns that every text with a span of the kind has.
 MAY_HAVE = {"assign": r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-#: Candidates for entropy: runs of these characters of at least a window's length with both a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
+#: Candidates for entropy: runs of these characters of at least a window's length with both a digit and a letter, of digits
+#: or of capitals alone, or of letters in mixed case with two capitals side by side, as names seldom have.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?:(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])|(?=[0-9]++(?![+/_-]))|(?=[A-Z]++(?![a-z+/_-]))"
+    r"|(?=[A-Za-z+/_-]*[A-Z]{2})(?=[A-Za-z+/_-]*[a-z][A-Z]))[A-Za-z0-9+/_-]{20,}+"
+)
 WINDOW = 20
-#: Bits in a window from which it counts as random, by class: of hexadecimal digits only, or of mixed characters.
-HEX_BITS, MIXED_BITS = 3.0, 4.0
+#: Bits in a window from which it counts as random, by class: of hexadecimal digits only, or of mixed characters. Each is what
+#: about 99 of 100 random strings of its class's smallest alphabet (the digits 0-9; base32, or lower case and digits) reach.
+HEX_BITS, MIXED_BITS = 2.6, 3.35
 #: Candidates that are no secrets: identifiers in the form 8-4-4-4-12, placeholders, counting runs, runs of words and dates.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",

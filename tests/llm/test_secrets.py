@@ -71,3 +71,16 @@ def test_whole_table(spark, sf):
 def test_no_documents_and_plan(spark):
     found = S.digest_columns(S.scan(spark.createDataFrame([], "doc_id long, text string")))
     assert found.count() == 0 and "Python" not in found._jdf.queryExecution().toString()
+
+
+def test_random_tokens_of_each_class_are_found(spark):
+    import string
+
+    rng = random.Random(9)
+    alphabets = {"digits": string.digits, "hex": "0123456789abcdef", "lower": string.ascii_lowercase + string.digits, "base32": string.ascii_uppercase + "234567", "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "letters": string.ascii_letters}
+    rows = [(f"{name} {n}", "x " + "".join(rng.choice(a) for _ in range(n)) + " y") for name, a in alphabets.items() for n in (20, 24, 32, 40) for _ in range(100)]
+    found = S.scan(spark.createDataFrame(rows, "doc_id string, text string")).groupBy("doc_id").agg(F.avg((F.size("entropy") > 0).cast("int")).alias("share"))
+    shares = {r.doc_id: r.share for r in found.collect()}
+    assert min(shares.values()) >= 0.93, sorted(shares.items(), key=lambda x: x[1])[:5]
+    words = ["internationalization", "getElementsByClassName", "counterrevolutionaries", "a/path/of/several/words"]
+    assert all(not r.entropy for r in S.scan(spark.createDataFrame([(w, w) for w in words], "doc_id string, text string")).collect())
