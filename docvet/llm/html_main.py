@@ -30,9 +30,9 @@ STOP = frozenset(
     "el los las del y que es por con para una su se lo como más pero sus al este".split()
 )
 
-#: Pass one, outside of an article element: link characters, code points, stop words as shares of all words.
+#: Pass one: link characters, code points, stop words as shares of all words.
 MOST_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.33, 70, 200, 0.08, 0.16
-#: Within an article only blocks that are nearly all links count as bad.
+#: Where article elements are a sign, only blocks in them that are nearly all links count as bad.
 ARTICLE_LINKS = 0.75
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']++|"[^"]*+"|'[^']*+')*+))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -143,54 +143,57 @@ def blocks(page: str) -> list[Block]:
 def labels(found: list[Block]) -> list[bool]:
     """Which blocks are main text.
 
-    Pass one decides by link density, length and stop-word density; short blocks without a sign stay open. Pass two gives
+    Pass one decides by link density, length and stop-word density; blocks without a clear sign stay open. Pass two gives
     an open block the label of the nearest decided blocks: main text if both agree on it or, where they differ, the nearer
-    one is; with decided blocks on one side only, theirs. Where the page has an article or main element, only blocks in it can be main text, and the absence of stop
-    words there decides nothing.
+    one is; with decided blocks on one side only, theirs. Being in an article or main element is a sign for open blocks
+    unless pass one finds more main text outside of such elements: then blocks in them that few stop words or some links
+    speak against are open too, open blocks in them look at blocks in them only and with none decided are main text, and open
+    blocks outside are main text only between two such blocks outside.
     """
-    within = any(b.article for b in found)
-    first: list[bool | None] = []
-    for b in found:
-        share = b.links / max(1, len(b.text))
-        if within:
-            long = len(b.text) >= SHORT
-            first.append(False if not b.article or share > ARTICLE_LINKS else True if long else None)
-            continue
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / max(1, len(words))
-        if share > MOST_LINKS or b.text.startswith(("©", "(c) ", "Copyright ")):
-            first.append(False)
-        elif len(b.text) < SHORT:
-            first.append(None)
-        elif stops >= MANY_STOPS:
-            first.append(True)
-        elif stops >= FEW_STOPS:
-            first.append(True if len(b.text) >= LONG else None)
-        else:
-            first.append(False if len(b.text) < LONG else None)
-    before: list[tuple[int, bool] | None] = []
-    last = None
-    for k, x in enumerate(first):
-        if x is not None and (not within or found[k].article):
-            last = (k, x)
-        before.append(last)
+    first = [_first(b, False) for b in found]
+    inside, outside = (sum(len(b.text) for b, x in zip(found, first, strict=True) if x and b.article == side) for side in (True, False))
+    sign = any(b.article for b in found) and inside >= outside
+    if sign:
+        first = [_first(b, b.article) for b in found]
     out: list[bool] = [False] * len(found)
-    last = None
-    for k in range(len(found) - 1, -1, -1):
-        x = first[k]
-        if x is not None:
-            out[k] = x
-            if not within or found[k].article:
+    for side in (True, False):
+        zone = [k for k, b in enumerate(found) if (b.article or not sign) == side]
+        before: list[tuple[int, bool] | None] = []
+        last = None
+        for k in zone:
+            if (x := first[k]) is not None:
                 last = (k, x)
-            continue
-        a, b = before[k], last
-        if a is None or b is None:
-            out[k] = (a or b or (k, within))[1]
-        else:
-            out[k] = (a if a[1] == b[1] or k - a[0] <= b[0] - k else b)[1]
+            before.append(last)
+        last = None
+        for k, a in zip(reversed(zone), reversed(before), strict=True):
+            if (x := first[k]) is not None:
+                out[k] = x
+                last = (k, x)
+            elif sign and not side:
+                out[k] = a is not None and last is not None and a[1] and last[1]
+            elif a is None or last is None:
+                out[k] = (a or last or (k, sign and side))[1]
+            else:
+                out[k] = (a if a[1] == last[1] or k - a[0] <= last[0] - k else last)[1]
     return out
 
 
+def _first(b: Block, sign: bool) -> bool | None:
+    """The label of pass one, None where it stays open; sign: the block's place speaks for main text."""
+    words = b.text.lower().split()
+    stops = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / max(1, len(words))
+    share = b.links / max(1, len(b.text))
+    if share > (ARTICLE_LINKS if sign else MOST_LINKS) or (not sign and b.text.startswith(("©", "(c) ", "Copyright "))):
+        return False
+    if len(b.text) < SHORT or share > MOST_LINKS:
+        return None
+    if stops >= MANY_STOPS:
+        return True
+    if stops >= FEW_STOPS:
+        return True if len(b.text) >= LONG else None
+    return False if len(b.text) < LONG and not sign else None
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     return " ".join(b.text for b, keep in zip(found, labels(found), strict=True) if keep)

@@ -53,3 +53,11 @@ def test_whole_table_against_the_article_elements(spark, sf):
     for r in pages.collect():
         inside = re.search("<article>(.*?)</article>", r.html, re.S)[1]
         assert got[r.page_id] == " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", inside))).split())
+
+
+def test_an_article_element_is_only_a_sign():
+    card = "<article><h3>Read more</h3><p>See our other story.</p></article>"
+    assert H.main_text(f"<body><h1>Title</h1><div>{LONG}</div><p>{LONG} {LONG}</p><ul><li><a href=x>{LONG}</a></li></ul>{card}<p>&copy; x</p></body>") == f"Title {LONG} {LONG} {LONG}"
+    assert H.main_text(f"<body>{card}<div>{LONG} {LONG}</div><div>{LONG}</div></body>").endswith(f"{LONG} {LONG} {LONG}")
+    codes = "zx81 qwerty asdf " * 8
+    assert H.main_text(f"<body><p>Menu</p><article><p>{LONG}</p><p>{codes}</p><p>So.</p></article><p>{LONG}</p><p>{codes}</p></body>") == f"{LONG} {codes.strip()} So. {LONG}"
