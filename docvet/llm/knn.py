@@ -49,19 +49,21 @@ def _assigner(pivots: np.ndarray):
     return run
 
 
-def needed(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, query_radius: np.ndarray, k: int) -> np.ndarray:
+def needed(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, query_radius: np.ndarray, k: int, own: np.ndarray | None = None, most: int = 1) -> np.ndarray:
     """Which cells (columns) can hold one of the k best of a query of which cells (rows), from the summaries alone.
 
     With q = p + d and x = r + e, |d| and |e| at most the radii: q.x lies within |d||r| + (|p| + |d|)|e| of p.r. The lower
-    bounds of cells with together more than k rows (the query's own may be one) bound the k-th best score from below.
+    bounds of cells with together k rows that can't be the query's own bound the k-th best score from below. own: rows of
+    a cell that one query's id has there at most (one by default); most: that it has in all cells.
     """
     dot, norm = pivots @ pivots.T, np.sqrt((pivots**2).sum(1))
     slack = query_radius[:, None] * norm[None, :] + (norm + query_radius)[:, None] * radius[None, :]
     low, high = dot - slack, dot + slack
+    own = np.ones(len(pivots)) if own is None else own
     out = np.zeros(dot.shape, bool)
     for g in range(len(pivots)):
         order = np.argsort(-low[g])
-        enough = np.searchsorted(np.cumsum(counts[order]), k + 1)
+        enough = np.searchsorted(np.cumsum(counts[order]) - np.minimum(np.cumsum(own[order]), most), k)
         least = low[g, order[enough]] if enough < len(order) else -np.inf
         out[g] = (high[g] >= least - 1e-6 * (1 + abs(least) if np.isfinite(least) else 0)) & (counts > 0)
     return out
@@ -124,7 +126,12 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         counts[r.cell], radius[r.cell], query_counts[r.cell], query_radius[r.cell] = r.n, r.far, r.qn, r.qfar or 0
     if not query_counts.any():
         return empty
-    may = needed(pivots, counts, radius, query_radius, k) & (query_counts > 0)[:, None]
+    repeats = cells.filter(query).groupBy("cell", "vec_id").count()
+    own = np.zeros(len(pivots))
+    for r in repeats.groupBy("cell").agg(F.max("count").alias("n")).collect():
+        own[r.cell] = r.n
+    most = repeats.groupBy("vec_id").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0]
+    may = needed(pivots, counts, radius, query_radius, k, own, most) & (query_counts > 0)[:, None]
 
     splits = np.maximum(1, -(-counts // BLOCK_ROWS)).astype(int)
     first, parts, at, filled = [], [], 0, 0  # of each group of queries its first block and number of blocks

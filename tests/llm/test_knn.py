@@ -47,3 +47,9 @@ def test_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = {tuple(r) for r in knn.top_k(rows).collect()}
     assert got == brute([(r.vec_id, list(map(float, r.embedding))) for r in rows.collect()], 10, 100)
+
+
+def test_repeated_query_ids_prune_no_neighbours(spark):
+    rows = [(0, [100.0, 0.0])] * 40 + [(i, [-100.0, 0.0]) for i in range(101, 400)] + [(i, [0.0, 50.0]) for i in range(401, 700)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 11)) and {(r.query_id, r.vec_id, r.score) for r in got} == {(0, 401, 0)}
