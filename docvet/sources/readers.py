@@ -16,9 +16,14 @@ LEFT_OUT = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__
 def files(spark: SparkSession, path: str, recursive: bool = True, most_bytes: int = fixed.MOST_FILE_BYTES) -> DataFrame:
     """path, length, modified, content; the content of files over most_bytes is null and never read into a task's batch."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return bounded(found, most_bytes).select("path", "length", F.col("modificationTime").alias("modified"), "content")
+
+
+def bounded(found: DataFrame, most_bytes: int = fixed.MOST_FILE_BYTES) -> DataFrame:
+    """found, a table or stream of binary files, with null content for files over most_bytes, which isn't read."""
     small = found.filter(F.col("length") <= most_bytes)
     large = found.filter(F.col("length") > most_bytes).withColumn("content", F.lit(None).cast("binary"))
-    return small.unionByName(large).select("path", "length", F.col("modificationTime").alias("modified"), "content")
+    return small.unionByName(large)
 
 
 def source_files(found: DataFrame, with_builds: bool = False) -> DataFrame:

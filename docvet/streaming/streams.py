@@ -41,9 +41,10 @@ def post_tool_stream(events: DataFrame, out: str, checkpoint: str, available_now
 
 
 def scan_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files_per_batch: int = 1000, available_now: bool = True) -> StreamingQuery:
-    """Verdicts of the files that are new under path; files that a batch has seen aren't scanned again."""
+    """Verdicts of the files that are new under path; files that a batch has seen aren't scanned again. A file over
+    MOST_FILE_BYTES isn't read and gets the verdict of a scan error."""
     found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(path)
-    found = found.filter(F.col("length") <= fixed.MOST_FILE_BYTES).withColumnRenamed("modificationTime", "modified")
+    found = readers.bounded(found, fixed.MOST_FILE_BYTES).withColumnRenamed("modificationTime", "modified")
     put = _written(out)
     return _start(found, lambda df, batch: put(vet(readers.documents(df), ["path", "length"]), batch), checkpoint, available_now)
 

@@ -152,3 +152,13 @@ def test_source_walk_and_size_guard(spark, tmp_path):
     assert names(readers.source_files(found)) == ["a.py"] and names(readers.source_files(found, with_builds=True)) == ["a.py", "c.py"]
     large = Engine(spark, most_bytes=10).process(str(tmp_path / "a.py")).first()
     assert large.error.kind == "parse_failed" and large.decision.action == "block"
+
+
+def test_stream_keeps_large_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams.fixed, "MOST_FILE_BYTES", 100)
+    (tmp_path / "in").mkdir()
+    for name, n in (("small.py", 10), ("large.py", 200)):
+        (tmp_path / "in" / name).write_text("a = 1\n" * (n // 6))
+    streams.scan_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = {r.source: r.label for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {"small.py", "large.py"} and got["large.py"] == "dangerous" != got["small.py"]
