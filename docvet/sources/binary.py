@@ -410,8 +410,20 @@ class Pdf:
         return out or [o for o, _ in self.objects.values() if isinstance(o, dict) and o.get("/Type") == "/Page"]
 
 
+def _readable(doc: Pdf, font: Any) -> None:
+    """Raises for a font whose codes aren't those of a standard encoding, so that the file fails closed."""
+    font = doc.get(font)
+    if not isinstance(font, dict):
+        return
+    encoding = doc.get(font.get("/Encoding"))
+    odd = isinstance(encoding, dict) and "/Differences" in encoding or encoding is None and "/ToUnicode" in font
+    if doc.get(font.get("/Subtype")) in ("/Type0", "/Type3") or odd:
+        raise ValueError("a font without a standard encoding can't be read")
+
+
 def pdf(data: bytes) -> dict:
-    """A paragraph for each page, a run for each shown text with its size and alpha; annotations with contents."""
+    """A paragraph for each page, a run for each shown text with its size and alpha; annotations with contents. Composite
+    fonts, fonts with an encoding of their own and form XObjects raise."""
     doc = Pdf(data)
     paragraphs, annotations = [], []
     for number, page_ in enumerate(doc.pages(), 1):
@@ -422,6 +434,8 @@ def pdf(data: bytes) -> dict:
             value = doc.get(state.get("/ca", state.get("/CA")))
             if isinstance(value, (int, float)):
                 alphas[name] = float(value)
+        resources = doc.get(page_.get("/Resources")) or {}
+        fonts, things = (doc.get(resources.get(k)) or {} for k in ("/Font", "/XObject"))
         alpha, saved, size, scale, args, runs = 1.0, [], None, 1.0, [], []
         for x in _values(doc.content(page_)):
             if not isinstance(x, bytes):
@@ -435,6 +449,10 @@ def pdf(data: bytes) -> dict:
                 alpha = alphas.get(args[-1], alpha)
             elif x == b"Tf" and args and isinstance(args[-1], (int, float)):
                 size = float(args[-1])
+                _readable(doc, fonts.get(args[-2]) if len(args) > 1 and isinstance(args[-2], str) else None)
+            elif x == b"Do" and args and isinstance(args[-1], str):
+                if isinstance(form := doc.get(things.get(args[-1])), dict) and doc.get(form.get("/Subtype")) == "/Form":
+                    raise ValueError("a form XObject can't be read")
             elif x == b"Tm" and len(args) >= 6 and isinstance(args[-3], (int, float)):
                 scale = abs(float(args[-3])) or 1.0
             elif x == b"BT":

@@ -162,3 +162,20 @@ def test_stream_keeps_large_files(spark, tmp_path, monkeypatch):
     streams.scan_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = {r.source: r.label for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert set(got) == {"small.py", "large.py"} and got["large.py"] == "dangerous" != got["small.py"]
+
+
+def test_pdf_text_that_cannot_be_read_fails_closed():
+    from docvet.sources import binary
+
+    def made(font, form="/Image"):
+        objects = [
+            "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] >>",
+            "<< /Type /Page /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> /XObject << /X1 6 0 R >> >> >>",
+            "<< >> stream\nBT /F1 12 Tf (a) Tj ET /X1 Do\nendstream", f"<< /Type /Font {font} >>", f"<< /Subtype {form} >> stream\nBT (b) Tj ET\nendstream",
+        ]
+        return ("%PDF-1.4\n" + "".join(f"{i} 0 obj {o} endobj\n" for i, o in enumerate(objects, 1))).encode()
+
+    plain = "/Subtype /Type1 /Encoding /WinAnsiEncoding"
+    assert binary.read("pdf", "x.pdf", made(plain))["error"] is None
+    for data in (made(plain, "/Form"), made("/Subtype /Type0 /Encoding /Identity-H"), made("/Subtype /TrueType /Encoding << /Differences [65 /B] >>")):
+        assert binary.read("pdf", "x.pdf", data)["error"]["kind"] == "parse_failed"
