@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docvet.llm.shared import few, from_files, new_path, stored
+from docvet.llm.shared import Scratch, few, fresh, from_files, settings, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The state lies on disk; without fallocate, so that many small stores don't each reserve megabytes.
@@ -26,18 +26,17 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with _at: the file (a hash of its path) and the row there of each document."""
+def located(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column name: the file (a hash of its path) and the row there of each document."""
     meta = docs.metadataColumn("_metadata")
-    return docs.select("*", F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")).alias("_at"))
+    return docs.select("*", F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")).alias(name))
 
 
-def keep_states(spark: SparkSession, feed_path: str, feed: DataFrame, files_per_batch: int | None) -> DataFrame:
+def keep_states(tmp: Scratch, feed_path: str, feed: DataFrame, files_per_batch: int | None) -> DataFrame:
     """Streams the feed (digest, doc_id, at) through keyed state: per digest the number of documents and the stable
     identifier and content locator of the one that stays. The state lies in RocksDB and on the shared disk and never
     expires; each batch puts the states that it changed into a table, and the newest of each digest is returned."""
-    work = new_path(spark, "states")
-    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    spark, work = tmp.spark, tmp.path("states")
     stream = spark.readStream.schema(feed.schema)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
@@ -50,17 +49,12 @@ def keep_states(spark: SparkSession, feed_path: str, feed: DataFrame, files_per_
     def put(changed: DataFrame, batch: int) -> None:  # a batch that runs again overwrites what it wrote
         changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{work}/changed/batch={batch}")
 
-    try:
-        for k, v in ROCKSDB.items():
-            spark.conf.set(k, v)
+    with settings(spark, ROCKSDB):
         query = (
             states.writeStream.outputMode("update").foreachBatch(lambda df, batch: put(df.select("digest", "stays", "group_size"), batch))
             .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = f"digest string, stays {feed.select(F.struct('doc_id', 'at')).dtypes[0][1]}, group_size long, batch long"
     try:
         changed = spark.read.schema(schema).parquet(f"{work}/changed")
@@ -85,19 +79,26 @@ def exact_dedup(docs: DataFrame, hashed: Callable[[Column], Column] = digest, fi
     by partial sums before the shuffle, are the same only if all are. Digests of different texts are grouped anew by text.
     hashed can be replaced to try that.
     """
-    spark = docs.sparkSession
-    source = located(from_files(docs)).select("doc_id", "text", "_at")
+    with Scratch(docs.sparkSession) as tmp:
+        return stored(_found(tmp, docs, hashed, files_per_batch), "copies")
+
+
+def _found(tmp: Scratch, docs: DataFrame, hashed: Callable[[Column], Column] = digest, files_per_batch: int | None = None) -> DataFrame:
+    spark = tmp.spark
+    docs = from_files(docs)
+    at = fresh(docs, "_at")
+    source = located(docs, at).select("doc_id", "text", F.col(at).alias("_at"))
     text = normalised(F.col("text"))
     rows = source.select(F.col("doc_id"), hashed(text).alias("digest"), F.col("_at").alias("at"))
-    feed_path = new_path(spark, "feed")
+    feed_path = tmp.path("feed")
     rows.write.parquet(feed_path)
     feed = spark.read.schema(rows.schema).parquet(feed_path)
-    states = keep_states(spark, feed_path, feed, files_per_batch)
+    states = keep_states(tmp, feed_path, feed, files_per_batch)
 
     hits = few(states.filter("group_size > 1").select("digest"))
     seen = source.select(hashed(text).alias("digest"), text.alias("_text")).join(hits, "digest", "left_semi")
     differ = seen.groupBy("digest").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).filter("a <> b").select("digest")
-    differ = stored(differ, "differ")
+    differ = tmp.stored(differ, "differ")
     out = feed.join(states, "digest").select(
         "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("at") == F.col("stays.at")).alias("kept"), "digest", "at"
     )
@@ -116,7 +117,8 @@ def exact_dedup(docs: DataFrame, hashed: Callable[[Column], Column] = digest, fi
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     docs = from_files(docs)
-    source = located(docs)
-    gone = exact_dedup(docs).filter("not kept").select("at")
-    gone = few(stored(gone, "gone"))
-    return source.join(gone, source["_at"] == gone["at"], "left_anti").drop("_at")
+    at = fresh(docs, "_at")
+    source = located(docs, at)
+    with Scratch(docs.sparkSession) as tmp:
+        gone = few(stored(_found(tmp, docs).filter("not kept").select("at"), "gone"))
+    return source.join(gone, source[at] == gone["at"], "left_anti").drop(at)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docvet.llm import kernels
-from docvet.llm.shared import numbered, small_batches, stored
+from docvet.llm.shared import Scratch, numbered, stored
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; a worker that has more starts anew.
@@ -235,19 +235,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     among those of its length. Repeated rows are packed one by one. No documents: no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(token_pieces(tokenizer, capacity), PIECES), "pieces")
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    plan: dict[int, list[tuple]] = {}
-    for length, *rest in best_fit_decreasing(counts, capacity):
-        plan.setdefault(length, []).append(tuple(rest))
-    schema = "length long, _runs array<struct<first: long, end: long, bin: long, each: long, at: long>>"
-    runs = F.broadcast(spark.createDataFrame(list(plan.items()), schema))
-    order = ["doc_id", "piece", "start", "ids_crc32"]
-    out = numbered(pieces, "length", order, "_rank", sum(counts.values()), "pieces").join(runs, "length")
-    out = out.withColumn("_run", F.expr("filter(_runs, r -> _rank >= r.first and _rank < r.end)[0]"))
-    return out.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        F.expr("_run.bin + (_rank - _run.first) div _run.each").alias("sequence_id"),
-        F.expr("_run.at + (_rank - _run.first) % _run.each * length").alias("offset"),
-    )
+    with Scratch(spark) as tmp:
+        pieces = tmp.stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(token_pieces(tokenizer, capacity), PIECES), "pieces")
+        counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+        plan: dict[int, list[tuple]] = {}
+        for length, *rest in best_fit_decreasing(counts, capacity):
+            plan.setdefault(length, []).append(tuple(rest))
+        schema = "length long, _runs array<struct<first: long, end: long, bin: long, each: long, at: long>>"
+        runs = F.broadcast(spark.createDataFrame(list(plan.items()), schema))
+        order = ["doc_id", "piece", "start", "ids_crc32"]
+        out = numbered(pieces, "length", order, "_rank", sum(counts.values()), "pieces").join(runs, "length")
+        out = out.withColumn("_run", F.expr("filter(_runs, r -> _rank >= r.first and _rank < r.end)[0]"))
+        placed = out.select(
+            "doc_id", "piece", "start", "length", "ids_crc32",
+            F.expr("_run.bin + (_rank - _run.first) div _run.each").alias("sequence_id"),
+            F.expr("_run.at + (_rank - _run.first) % _run.each * length").alias("offset"),
+        )
+        return stored(placed, "packed")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docvet.llm.shared import numbered, stored
+from docvet.llm.shared import Scratch, numbered, stored
 
 #: The key's bits that the first, and each further, look at the group sizes tells apart.
 FIRST_BITS, MORE_BITS = 14, 4
@@ -129,10 +129,11 @@ def minimax_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("key")
     )
-    rows = stored(rows, "sized")
-    firsts, _ = plan(rows.groupBy("key").agg(F.sum("size").alias("size")), shards)
-    shard = F.lit(0)
-    for first in firsts:
-        shard = shard + (F.col("key") >= F.lit(first)).cast("int")
-    out = numbered(rows.withColumn("shard", shard), "shard", ["doc_id", "key"], "slot", rows.count(), "slots")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    with Scratch(docs.sparkSession) as tmp:
+        rows = tmp.stored(rows, "sized")
+        firsts, _ = plan(tmp.stored(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups"), shards)
+        shard = F.lit(0)
+        for first in firsts:
+            shard = shard + (F.col("key") >= F.lit(first)).cast("int")
+        out = numbered(rows.withColumn("shard", shard), "shard", ["doc_id", "key"], "slot", rows.count(), "slots")
+        return stored(out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")), "shards")

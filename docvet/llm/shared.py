@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,14 +31,83 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docvet/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage in a way that survives lost executors."""
+#: What holds while an intermediate table is written. Shuffle files go when the write ends, since nothing reads them again.
+#: Texts are long, and a batch of them lies in memory of the JVM and of Python at once, so batches have few rows.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written as Parquet and read again: cuts lineage in a way that survives lost executors."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, WRITING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a folder of its own, which stays until delete() or the end of the driver: for what is given back."""
+    path = new_path(df.sparkSession, name)
+    _KEPT.append((df.sparkSession, path))
+    return written(df, path)
+
+
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@atexit.register
+def _delete_kept() -> None:
+    for spark, path in _KEPT:
+        with contextlib.suppress(Exception):  # the driver's JVM may be gone
+            delete(spark, path)
+
+
+class Scratch:
+    """The tables of one run of an operator; they are deleted when its block ends, so what it gives back must be stored()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+
+    def path(self, name: str) -> str:
+        self.paths.append(new_path(self.spark, name))
+        return self.paths[-1]
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, self.path(name))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def from_files(docs: DataFrame) -> DataFrame:
     """docs that come straight from files as they are, others written to the shared folder first."""
     try:
@@ -49,27 +119,11 @@ def from_files(docs: DataFrame) -> DataFrame:
         return stored(docs, "docs")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more. It does so when the driver's garbage is
-    collected, which a driver with little to do puts off while executors' disks fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
-
-
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows (counted on a written table), else as it is."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the rows of an Arrow batch, which Spark bounds by rows alone: texts are long, and a batch lies in memory of
-    the JVM and of Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
-
-
 def numbered(df: DataFrame, group: str, order: list, out: str, rows: int, name: str, per_bucket: int = 50_000) -> DataFrame:
     """df and a column out: a gapless number from 0 within each value of group.
 

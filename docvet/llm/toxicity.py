@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docvet.llm import kernels
-from docvet.llm.shared import small_batches, stored
+from docvet.llm.shared import Scratch
 
 #: Labelled rows that the classifier is fitted on, at most, chosen by a hash of doc_id; features that it may use.
 SAMPLE_ROWS, FEATURES = 20_000, 256
@@ -210,23 +210,23 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = COUNTERFACTUAL) -
 
     Executors count features over the sample; those FEATURES whose share of toxic texts is farthest from the whole's, in
     standard deviations, and the sample's rows in them, come to the driver, which fits. Labels that are null or without
-    document teach nothing; without labels of both kinds the score is the same for every text.
+    document teach nothing, of different texts of one doc_id the smallest teaches, and a document that any label calls
+    toxic is; without labels of both kinds the score is the same for every text.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    taught = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    taught = stored(taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS), "taught")  # at most SAMPLE_ROWS short rows
-    sample = docs.select("doc_id", "text").join(F.broadcast(taught.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    sample = stored(sample.repartition(6), "sample")
-    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not 0 < positive < n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))))
-    p = positive / n
-    counts = sample.mapInArrow(_counts, "feature long, texts long, toxic long").groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
-    far = F.abs(F.col("toxic") - F.col("texts") * p) / F.sqrt(F.col("texts") * (p * (1 - p)))
-    best = counts.filter(f"texts >= {LEAST_TEXTS}").orderBy(far.desc(), "feature").limit(FEATURES).select("feature").collect()
-    hashes = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_sample_rows(hashes), "toxic int, own array<int>, swap array<int>").collect()
+    with Scratch(docs.sparkSession) as tmp:
+        taught = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        taught = tmp.stored(taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS), "taught")  # at most SAMPLE_ROWS short rows
+        texts = docs.select("doc_id", "text").join(F.broadcast(taught.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+        sample = tmp.stored(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").repartition(6), "sample")
+        n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        if not 0 < positive < n:
+            return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))))
+        p = positive / n
+        counts = sample.mapInArrow(_counts, "feature long, texts long, toxic long").groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
+        far = F.abs(F.col("toxic") - F.col("texts") * p) / F.sqrt(F.col("texts") * (p * (1 - p)))
+        best = counts.filter(f"texts >= {LEAST_TEXTS}").orderBy(far.desc(), "feature").limit(FEATURES).select("feature").collect()
+        hashes = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
+        rows = sample.mapInArrow(_sample_rows(hashes), "toxic int, own array<int>, swap array<int>").collect()
     rows.sort(key=lambda r: (r.toxic, r.own))
     w, b = fit(np.array([r.toxic for r in rows], float), [r.own for r in rows], [r.swap for r in rows], len(hashes), penalty)
     return Model(hashes, w, b)

@@ -13,7 +13,7 @@ def brute(rows):
 
 def test_edge_cases(spark):
     rows = [(1, "Ab"), (2, "aB"), (3, "Äb"), (4, "äb"), (5, None), (6, ""), (7, "x" * 300_000), (8, "X" * 300_000), (None, "ab"), (9, "solo"), (9, "solo"), (9, "solo")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("clash"), "kept": F.lit(1), "at": F.lit(2), "stays": F.lit(3)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("clash"), "kept": F.lit(1), "at": F.lit(2), "stays": F.lit(3), "_AT": F.lit(4), "_at_": F.lit(5)})
     out = X.exact_dedup(docs).collect()
     assert len(out) == len(rows)
     groups = brute(rows)
