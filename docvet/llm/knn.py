@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docvet.llm.shared import stored
+from docvet.llm.shared import Scratch, stored
 
 K, EVERY = 10, 100
 #: Pivots, at most; rows of a block of data or of queries. They bound what a task holds.
@@ -100,38 +100,48 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     query_id, rank (from 1), vec_id, score; all others where there are fewer; ties go to the smaller vec_id.
 
     A component x counts as floor(1024 * x). Vectors that are null, hold null or non-finite components or have no vec_id
-    take no part; a shorter vector counts as if filled up with 0. Rows with the query's vec_id are its own. Scores are
-    exact below 2**53.
+    take no part; a shorter vector counts as if filled up with 0. Rows with the query's vec_id are its own, and together
+    one query: of different vectors the one whose bytes are smallest asks. A candidate's vec_id that comes in several rows
+    counts with each. Scores are exact below 2**53.
 
     Pivots are distinct vectors chosen by a hash, at most MOST_PIVOTS; they and the cells' summaries (rows, radius) are all
-    that the driver sees. Bounds tell which cells a group of queries needs; queries go to blocks of those cells, and a cell
+    that the driver sees, and what is broadcast has at most MOST_PIVOTS**2 short rows. Bounds tell which cells a group of queries needs; queries go to blocks of those cells, and a cell
     with many rows, of equal vectors too, is several blocks. Each block of data with each block of queries is solved by a
     task, and the best of the blocks' best are taken.
     """
     spark = embeddings.sparkSession
+    with Scratch(spark) as tmp:
+        found = _best(tmp, embeddings, k, every)
+        return stored(found, "top") if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _best(tmp: Scratch, embeddings: DataFrame, k: int, every: int) -> DataFrame | None:
+    """top_k(), or None where there are no queries."""
+    spark = tmp.spark
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_packed, "vec_id long, vector binary")
-    rows = stored(rows, "vectors")
+    rows = tmp.stored(rows, "vectors")
     total, width = rows.agg(F.count("*"), F.max(F.length("vector"))).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not total:
-        return empty
+        return None
     width = max(1, width // 8)
     most = int(min(MOST_PIVOTS, max(1, total**0.5 // 8)))
-    chosen = rows.groupBy("vector").agg(F.min("vec_id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    pivots = _matrix(pa.array([bytes(r.vector) for r in chosen]), width)
-    cells = stored(rows.mapInArrow(_assigner(pivots), "vec_id long, vector binary, cell int, far double"), "cells")
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(4 * most).collect()
+    pivots = _matrix(pa.array(list(dict.fromkeys(bytes(r.vector) for r in chosen))[:most]), width)
+    cells = tmp.stored(rows.mapInArrow(_assigner(pivots), "vec_id long, vector binary, cell int, far double"), "cells")
     query = F.col("vec_id") % every == 0
+    queries = cells.filter(query).groupBy("vec_id").agg(F.min_by(F.struct("vector", "cell", "far"), "vector").alias("v"), F.count("*").alias("n"))
+    queries = tmp.stored(queries.select("vec_id", "v.*", "n"), "queries")
     counts, radius, query_counts, query_radius = np.zeros((4, len(pivots)))
-    for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.count_if(query).alias("qn"), F.max(F.when(query, F.col("far"))).alias("qfar")).collect():
-        counts[r.cell], radius[r.cell], query_counts[r.cell], query_radius[r.cell] = r.n, r.far, r.qn, r.qfar or 0
+    for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        counts[r.cell], radius[r.cell] = r.n, r.far
+    for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        query_counts[r.cell], query_radius[r.cell] = r.n, r.far
     if not query_counts.any():
-        return empty
-    repeats = cells.filter(query).groupBy("cell", "vec_id").count()
+        return None
     own = np.zeros(len(pivots))
-    for r in repeats.groupBy("cell").agg(F.max("count").alias("n")).collect():
+    for r in cells.filter(query).groupBy("cell", "vec_id").count().groupBy("cell").agg(F.max("count").alias("n")).collect():
         own[r.cell] = r.n
-    most = repeats.groupBy("vec_id").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0]
-    may = needed(pivots, counts, radius, query_radius, k, own, most) & (query_counts > 0)[:, None]
+    may = needed(pivots, counts, radius, query_radius, k, own, queries.agg(F.max("n")).first()[0]) & (query_counts > 0)[:, None]
 
     splits = np.maximum(1, -(-counts // BLOCK_ROWS)).astype(int)
     first, parts, at, filled = [], [], 0, 0  # of each group of queries its first block and number of blocks
@@ -141,14 +151,28 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         parts.append(max(1, -(-n // QUERY_ROWS)))
         first.append(at)
         at, filled = (at + parts[-1], 0) if parts[-1] > 1 else (at, filled + n)
-    to: list[list[int]] = [sorted({first[g] + b for g in np.flatnonzero(may[:, j]) for b in range(parts[g])}) for j in range(len(pivots))]
-    of_data = F.broadcast(spark.createDataFrame([(j, int(splits[j]), to[j]) for j in range(len(pivots))], "cell int, splits int, blocks array<int>"))
-    targets = [[(int(j), b) for j in np.flatnonzero(may[g]) for b in range(splits[j])] for g in range(len(pivots))]
-    of_queries = F.broadcast(spark.createDataFrame([(g, first[g], parts[g], targets[g]) for g in range(len(pivots))], "cell int, first int, parts int, targets array<struct<cell: int, split: int>>"))
-
-    data = cells.join(of_data, "cell").select("vec_id", "vector", "cell", F.pmod(F.xxhash64("vec_id"), "splits").cast("int").alias("split"), F.explode("blocks").alias("block"))
-    asked = cells.filter(query).join(of_queries, "cell").select("vec_id", "vector", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).cast("int").alias("block"), F.explode("targets").alias("t"))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), F.col("t.cell").alias("qcell"), F.col("t.split").alias("qsplit"), F.col("block").alias("qblock"))
+    # Tables of at most as many rows as there are pairs of cells; the blocks that they stand for are made where they are used.
+    groups = spark.createDataFrame([(g, first[g], parts[g]) for g in range(len(pivots))], "cell int, first int, parts int")
+    to_cells = spark.createDataFrame([(g, j, int(splits[j])) for g, j in np.argwhere(may).tolist()], "cell int, qcell int, qsplits int")
+    spans = [(j, int(splits[j]), _joined([(first[g], first[g] + parts[g] - 1) for g in np.flatnonzero(may[:, j])])) for j in range(len(pivots))]
+    to_blocks = spark.createDataFrame(spans, "cell int, splits int, spans array<struct<low: int, high: int>>")
+
+    data = cells.join(F.broadcast(to_blocks), "cell").withColumn("block", F.explode(F.expr("flatten(transform(spans, s -> sequence(s.low, s.high)))")))
+    data = data.select("vec_id", "vector", "cell", F.pmod(F.xxhash64("vec_id"), "splits").cast("int").alias("split"), "block")
+    asked = queries.join(F.broadcast(groups), "cell").withColumn("qblock", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).cast("int"))
+    asked = asked.join(F.broadcast(to_cells), "cell").withColumn("qsplit", F.explode(F.expr("sequence(0, qsplits - 1)")))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), "qcell", "qsplit", "qblock")
     found = asked.groupBy("qcell", "qsplit", "qblock").cogroup(data.groupBy("cell", "split", "block")).applyInArrow(_solver(width, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of whole numbers, ends included, without overlaps."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out

@@ -78,8 +78,9 @@ ORACLE_SQL: dict[str, str] = {
     "op8_knn_join": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
                    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        q as (select vec_id, min(e) as e from v where vec_id % 100 = 0 group by vec_id),
         s as (select q.vec_id as query_id, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2]))::bigint as score
-              from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id)
+              from q join v d on q.vec_id <> d.vec_id)
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
         qualify rank <= 10""",
 }

@@ -52,4 +52,22 @@ def test_whole_table(spark, sf):
 def test_repeated_query_ids_prune_no_neighbours(spark):
     rows = [(0, [100.0, 0.0])] * 40 + [(i, [-100.0, 0.0]) for i in range(101, 400)] + [(i, [0.0, 50.0]) for i in range(401, 700)]
     got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000).collect()
-    assert sorted(r["rank"] for r in got) == list(range(1, 11)) and {(r.query_id, r.vec_id, r.score) for r in got} == {(0, 401, 0)}
+    assert sorted(r["rank"] for r in got) == list(range(1, 11)) and {(r.query_id, r.vec_id, r.score) for r in got} == {(0, i, 0) for i in range(401, 411)}
+
+
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(60, 4)).tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(20, vectors[20]), (20, vectors[20]), (7, vectors[7])]
+    got = sorted(map(tuple, knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 20).collect()))
+    want = []
+    for q in (0, 20, 40):
+        scores = sorted((-int(np.floor(1024 * np.array(vectors[q])) @ np.floor(1024 * np.array(v))), i) for i, v in rows if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    assert got == want
+
+
+def test_plan_of_a_million_vectors_stays_small():
+    assert knn._joined([(0, 3), (5, 9), (2, 4), (12, 12)]) == [(0, 9), (12, 12)]
+    spans = [(g * 40, g * 40 + 39) for g in range(knn.MOST_PIVOTS)]
+    assert knn._joined(spans) == [(0, 40 * knn.MOST_PIVOTS - 1)]
