@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from docvet.llm import kernels
@@ -13,7 +14,7 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def brute(rows, n):
+def brute(rows, n, percent=80):
     sets = {}
     for i, t in rows:
         w = words(t)
@@ -29,7 +30,7 @@ def brute(rows, n):
     for x, i in enumerate(ids):
         for j in ids[x + 1 :]:
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
@@ -105,15 +106,55 @@ def test_hot_group_with_chains(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows, 2)
 
 
+def test_other_similarities(spark):
+    for percent, n in ((50, 1), (60, 2), (100, 2)):
+        rows = [*corpus(7, 150), (900, "a b c"), (901, "a b c d")]
+        got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows, n, percent)
+    for percent in range(N.LEAST_PERCENT, 100):
+        t = N.Tables.of(percent)
+        assert 1 - (1 - (1 - (percent / 100) ** t.values) ** t.halves) ** 2 <= N.MISSED and 2 * t.halves * t.values <= 512
+    with pytest.raises(ValueError):
+        N.Tables.of(20)
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "SLICE", 64)
+    rng = random.Random(11)
+    base = [f"g{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(2, 8)):
+            w[rng.randrange(60)] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows, 2)
+    for rounds in (4, 0):
+        monkeypatch.setattr(N, "NEAREST_ROUNDS", rounds)
+        got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == want
+
+
+def test_different_texts_of_one_document(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text + " x"), (2, "other words here"), (3, "other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = sorted(map(tuple, N.near_duplicates(docs.repartition(1), 2).collect()))
+    assert first == sorted(map(tuple, N.near_duplicates(docs.repartition(4), 2).collect()))
+
+
 def test_halves_collide_as_planned():
     rng = np.random.default_rng(1)
     hits = 0
+    tables = N.Tables.of(80)
+    assert (tables.halves, tables.values, tables.least) == (14, 3, 4)
     for _ in range(300):
         x = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64))
         a, b = x[:810], x[90:900]  # similarity 0.8
-        keys = N.half_keys(np.concatenate([a, b]), np.array([0, len(a)]))
+        keys = N.half_keys(np.concatenate([a, b]), np.array([0, len(a)]), tables)
         same = keys[0] == keys[1]
-        hits += same[: N.HALVES].any() and same[N.HALVES :].any()
+        hits += same[:14].any() and same[14:].any()
     assert hits >= 298
 
 
