@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docvet.llm import kernels
-from docvet.llm.shared import release_shuffles, small_batches, stored
+from docvet.llm.shared import stored
 
 #: Length of a repeated string; of the grams by which candidates are found.
 WINDOW, GRAM = 50, 24
-#: Bytes of texts in a chunk, the unit of work; anchors in a part; bytes of a shard of which one transform is made.
-CHUNK_BYTES, PART_ANCHORS, SHARD_BYTES = 1 << 20, 300_000, 1 << 18
+#: Bytes of texts in a chunk, the unit of work; anchors in a part. What is shuffled are rows of a chunk and a part, each of
+#: about CHUNK_BYTES * PART_ANCHORS / (14 * input bytes) grams; where inputs are so large that these are few, raise both.
+CHUNK_BYTES, PART_ANCHORS = 8 << 20, 1_200_000
+#: Strings of a part that are merged at once; bytes of a shard of which one transform is made.
+MERGED_STRINGS, SHARD_BYTES = 80_000, 1 << 18
 NOBODY = np.iinfo(np.int64).max  # doc_id of documents without one: behind all others
 END = 0xFF  # stands in no UTF-8 text
 
@@ -59,7 +62,8 @@ def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
     """
     n = sum(map(len, transforms))
     flat = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=U8), [len(t) for t in transforms])
+    kind = U8 if len(transforms) <= 256 else np.uint16 if len(transforms) <= 1 << 16 else np.uint32
+    shard = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
     block = np.zeros(n, np.int32)
     apart = np.zeros(n, bool)
     pair = np.empty(n, np.uint16)
@@ -126,8 +130,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not got:
         return np.zeros(0, I64), np.zeros(0, I64), np.zeros(0, I64), np.zeros((2, 0), U64)
     lo, count, off, h, sig = (np.concatenate(x) for x in zip(*got, strict=True))
-    sig = kernels.mix(sig + (count * 64 + off).astype(U64))
-    return lo, count, off, np.stack([h, sig])
+    return lo, count, off, np.stack([h, signed(sig, count, off)])
 
 
 class Chunk:
@@ -174,7 +177,7 @@ class Chunk:
         self.entry = np.cumsum(new) - 1
 
     def strings(self):
-        """Yields (part, hashes, signs, counts, least doc_ids, bytes) of the entries."""
+        """Yields (part, counts, places of the grams, least doc_ids, bytes) of the entries."""
         if not len(self.entries):
             return
         least = np.minimum.reduceat(self.doc, self.entries)
@@ -183,7 +186,7 @@ class Chunk:
         for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
             e = self.entries[a:b]
             text = self.data[_ranges(lo[a:b], count[a:b] + WINDOW - 1)]
-            yield int(part[a]), self.h[e].tobytes(), self.sig[e].tobytes(), count[a:b].astype(U8).tobytes(), _squeezed(least[a:b].tobytes()), _squeezed(text.tobytes())
+            yield int(part[a]), count[a:b].astype(U8).tobytes(), _squeezed(self.off[e].astype(U8).tobytes()), _squeezed(least[a:b].tobytes()), _squeezed(text.tobytes())
 
     def removed(self, results: dict[int, bytes]) -> np.ndarray:
         """For each byte whether a window over it also starts in a document with a smaller doc_id."""
@@ -220,17 +223,58 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def pack_runs(runs: np.ndarray, lens: np.ndarray, docs: np.ndarray) -> bytes:
-    return runs.astype(U8).tobytes() + lens.astype(U8).tobytes() + docs.astype(I64).tobytes()
+    return len(lens).to_bytes(8, "little") + _squeezed(runs.astype(U8).tobytes() + lens.astype(U8).tobytes() + docs.astype(I64).tobytes())
 
 
 def unpack_runs(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    runs = np.frombuffer(blob, U8, n).astype(I64)
-    m = int(runs.sum())
-    return runs, np.frombuffer(blob, U8, m, n).astype(I64), np.frombuffer(blob, I64, m, n + m)
-
-
-def least_docs(h: np.ndarray, sig: np.ndarray, count: np.ndarray, doc: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per entry the number of runs of its windows with one least doc_id, the runs' lengths, those doc_ids.
+    m = int.from_bytes(blob[:8], "little")
+    data = _whole(blob[8:], n + 9 * m)
+    return np.frombuffer(data, U8, n).astype(I64), np.frombuffer(data, U8, m, n).astype(I64), np.frombuffer(data, I64, m, n + m)
+
+
+def named(text: np.ndarray, begin: np.ndarray, count: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the grams and of the whole strings that begin, one behind the other, at begin in text."""
+    h, sig = np.empty((2, len(begin)), U64)
+    a = 0
+    while a < len(begin):
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + kernels.CHUNK - 2 * WINDOW)))
+        lo, end = begin[a:b] - begin[a], begin[a:b] - begin[a] + count[a:b] + WINDOW - 1
+        prefix = kernels.Prefix(text[begin[a] : begin[a] + end[-1]])
+        h[a:b] = prefix.of(lo + off[a:b], lo + off[a:b] + GRAM)
+        sig[a:b] = signed(prefix.of(lo, end), count[a:b], off[a:b])
+        a = b
+    return h, sig
+
+
+def signed(h: np.ndarray, count: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return kernels.mix(h + (count * 64 + off).astype(U64))
+
+
+def solve(count: np.ndarray, off: np.ndarray, doc: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """least_docs() of a part's entries, a few grams at a time."""
+    begin = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
+    h, sig = named(text, begin, count, off)
+    pieces = max(1, -(-len(h) // MERGED_STRINGS))
+    piece = (kernels.mix(h) % U64(pieces)).astype(I64)
+    got = []
+    for k in range(pieces):
+        which = np.flatnonzero(piece == k)
+        if len(which):
+            got.append((which, *least_docs(h[which], sig[which], count[which], doc[which], text, begin[which])))
+    runs = np.zeros(len(h), I64)
+    for which, some, _, _ in got:
+        runs[which] = some
+    first = np.cumsum(runs) - runs
+    lens, docs = np.empty((2, int(runs.sum())), I64)
+    for which, some, n, d in got:
+        into = _ranges(first[which], some)
+        lens[into], docs[into] = n, d
+    return runs, lens, docs
+
+
+def least_docs(h: np.ndarray, sig: np.ndarray, count: np.ndarray, doc: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per entry, a string that begins at begin in text, the number of runs of its windows with one least doc_id, the runs'
+    lengths, those doc_ids.
 
     Equal strings of a gram are one with their least doc_id. A string that is the only one with its gram has no window in
     common with another. The strings of all other grams are cut into shards, transformed and merged; the windows of a
@@ -250,11 +294,10 @@ def least_docs(h: np.ndarray, sig: np.ndarray, count: np.ndarray, doc: np.ndarra
     if several.any():
         many = np.flatnonzero(several)
         size = n[many] + WINDOW - 1
-        begin = (np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1))[first[many]]
         placed = np.cumsum(size + 1) - (size + 1)
         joined = np.full(int((size + 1).sum()), END, U8)
-        joined[_ranges(placed, size)] = text[_ranges(begin, size)]
-        shards = max(1, min(200, -(-len(joined) // SHARD_BYTES)))
+        joined[_ranges(placed, size)] = text[_ranges(begin[first[many]], size)]
+        shards = -(-len(joined) // SHARD_BYTES)
         cuts = np.unique(np.append(placed[np.linspace(0, len(placed), shards, endpoint=False).astype(int)], len(joined)))
         classes = repeat_classes([joined[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], WINDOW)
         of = classes[_ranges(placed, n[many])]
@@ -273,12 +316,15 @@ def least_docs(h: np.ndarray, sig: np.ndarray, count: np.ndarray, doc: np.ndarra
     return runs[string], lens[r], docs[r]
 
 
+_CODEC = pa.Codec("zstd", compression_level=4)
+
+
 # ---- tasks ---------------------------------------------------------------------------------------------------------------
 
 
 def _squeezed(data: bytes) -> bytes:
     """Chunks and strings travel compressed: they are the bulk of what is written and shuffled."""
-    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+    return _CODEC.compress(data, asbytes=True) if data else b""
 
 
 def _whole(data: bytes, size: int) -> bytes:
@@ -349,23 +395,23 @@ def _strings(parts: int):
             for row, chunk in _chunks(batch, parts):
                 chunk.keep(row["masks"].as_py() or [])
                 got = list(chunk.strings())
-                cols = list(zip(*got, strict=True)) or [[]] * 6
+                cols = list(zip(*got, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array([row["chunk"].as_py()] * len(got), pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "chunk", "h", "sig", "counts", "doc", "text"]
+                    [pa.array(cols[0], pa.int32()), pa.array([row["chunk"].as_py()] * len(got), pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "chunk", "counts", "offs", "doc", "text"]
                 )
 
     return run
 
 
 def _solved(table: pa.Table) -> pa.Table:
-    cols = {c: table.column(c).to_pylist() for c in ("h", "sig", "counts", "doc", "text")}
-    n = np.array([len(c) for c in cols["counts"]])
-    cols["doc"] = [_whole(d, 8 * k) for d, k in zip(cols["doc"], n.tolist(), strict=True)]
-    cols["text"] = [_whole(t, sum(c) + (WINDOW - 1) * len(c)) for t, c in zip(cols["text"], cols["counts"], strict=True)]
-    joined = {c: np.frombuffer(b"".join(v), t) for (c, v), t in zip(cols.items(), (U64, U64, U8, I64, U8), strict=True)}
-    runs, lens, docs = least_docs(joined["h"], joined["sig"], joined["counts"].astype(I64), joined["doc"], joined["text"])
-    entry, run = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(runs)])
-    blobs = [pack_runs(runs[a:b], lens[run[a] : run[b]], docs[run[a] : run[b]]) for a, b in zip(entry[:-1], entry[1:], strict=True)]
+    counts, offs, docs, texts = (table.column(c).to_pylist() for c in ("counts", "offs", "doc", "text"))
+    n = [len(c) for c in counts]
+    doc = np.frombuffer(b"".join(_whole(d, 8 * k) for d, k in zip(docs, n, strict=True)), I64)
+    off = np.frombuffer(b"".join(_whole(o, k) for o, k in zip(offs, n, strict=True)), U8).astype(I64)
+    text = np.frombuffer(b"".join(_whole(t, sum(c) + (WINDOW - 1) * len(c)) for t, c in zip(texts, counts, strict=True)), U8)
+    runs, lens, least = solve(np.frombuffer(b"".join(counts), U8).astype(I64), off, doc, text)
+    entry, run = np.cumsum([0, *n]), np.concatenate([[0], np.cumsum(runs)])
+    blobs = [pack_runs(runs[a:b], lens[run[a] : run[b]], least[run[a] : run[b]]) for a, b in zip(entry[:-1], entry[1:], strict=True)]
     return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "runs": pa.array(blobs, pa.binary())})
 
 
@@ -403,23 +449,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
        are shards of a collection: each shard's Burrows-Wheeler transform is made, the transforms are merged by interleave
        refinement, and intervals of common prefixes of WINDOW bytes give every window the least doc_id that has it.
     3. Chunks look their windows up and take bytes out.
-    A part's size is fixed, their number grows with the input. A gram that is everywhere comes to its part once per chunk.
+    A part's size is fixed, their number grows with the input. A gram that is everywhere comes to its part once per chunk
+    with each of the strings around it there. The written tables stay until the driver ends.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_to_chunks, "docs array<long>, ends array<long>, data binary")
     chunks = stored(rows.select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
     size = chunks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     parts = max(8, -(-size * 2 // (WINDOW - GRAM + 2) // PART_ANCHORS))
 
     masks = stored(chunks.mapInArrow(_prints(parts), "part int, chunk long, prints binary").groupBy("part").applyInArrow(_shared, "chunk long, part int, bits binary"), "masks")
-    release_shuffles(spark)
     by_chunk = masks.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("masks"))
-    fields = "part int, chunk long, h binary, sig binary, counts binary, doc binary, text binary"
+    fields = "part int, chunk long, counts binary, offs binary, doc binary, text binary"
     results = stored(
         chunks.join(by_chunk, "chunk", "left").mapInArrow(_strings(parts), fields).groupBy("part").applyInArrow(_solved, "chunk long, part int, runs binary"), "results"
     )
-    release_shuffles(spark)
     solved = results.groupBy("chunk").agg(F.collect_list(F.struct("part", "runs")).alias("results"))
     found = chunks.join(by_chunk, "chunk", "left").join(solved, "chunk", "left")
     return found.mapInArrow(_report(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -49,6 +49,7 @@ def test_against_brute_force(spark, monkeypatch, sizes):
     rows += [rows[3], (None, rows[5][1] + "tail"), (None, rows[5][1])]
     monkeypatch.setattr(S, "CHUNK_BYTES", sizes[0])
     monkeypatch.setattr(S, "SHARD_BYTES", sizes[1])
+    monkeypatch.setattr(S, "MERGED_STRINGS", sizes[1])
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"chunk": F.lit(1), "part": F.lit(2), "data": F.lit("x")})
     got = S.digest_columns(S.remove_repeats(docs.repartition(5))).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
@@ -81,6 +82,17 @@ def test_transforms_and_merge():
         assert all(len(c) == 1 for c in by.values()) and len(set.union(*by.values(), set())) == len(by) and len(flat) == len(classes)
 
 
+def test_more_shards_than_a_byte_can_number():
+    rng = np.random.default_rng(8)
+    texts = [np.append(rng.integers(97, 99, 12), S.END).astype(np.uint8) for _ in range(300)]
+    classes = S.repeat_classes(texts, 6)
+    by = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 6):
+            by.setdefault(bytes(t[i : i + 6]), set()).add(int(classes[13 * k + i]))
+    assert all(len(c) == 1 for c in by.values()) and len(set.union(*by.values())) == len(by)
+
+
 def test_long_text(spark):
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
