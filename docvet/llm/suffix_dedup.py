@@ -14,7 +14,7 @@ from docvet.llm.shared import stored
 WINDOW, GRAM = 50, 24
 #: Bytes of texts in a chunk, the unit of work; anchors in a part. What is shuffled are rows of a chunk and a part, each of
 #: about CHUNK_BYTES * PART_ANCHORS / (14 * input bytes) grams; where inputs are so large that these are few, raise both.
-CHUNK_BYTES, PART_ANCHORS = 8 << 20, 1_200_000
+CHUNK_BYTES, PART_ANCHORS = 2 << 20, 600_000
 #: Strings of a part that are merged at once; bytes of a shard of which one transform is made.
 MERGED_STRINGS, SHARD_BYTES = 80_000, 1 << 18
 NOBODY = np.iinfo(np.int64).max  # doc_id of documents without one: behind all others
@@ -102,7 +102,6 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     windows have equal grams at equal places, and successive windows mostly share theirs."""
     wide = WINDOW - GRAM + 1
     got: list[tuple] = []
-    text_end = np.repeat(ends, np.diff(ends, prepend=0))
     at, n = 0, len(data)
     while at + WINDOW <= n:
         part = data[at : at + kernels.CHUNK]
@@ -117,7 +116,9 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if wide > size:
             least = np.minimum(least[: size - wide], least[wide - size :])
         place = (least & U64((1 << 21) - 1)).astype(I64)
-        window = np.flatnonzero(np.arange(at, at + len(place)) + WINDOW <= text_end[at : at + len(place)])
+        a, b = np.searchsorted(ends, at, side="right"), np.searchsorted(ends, at + len(place))
+        text_end = np.repeat(ends[a : b + 1], np.diff(np.concatenate([[at], ends[a:b], [at + len(place)]])))
+        window = np.flatnonzero(np.arange(at, at + len(place)) + WINDOW <= text_end)
         place = place[window]
         if len(window):
             first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)]))
