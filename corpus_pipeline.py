@@ -31,8 +31,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences of 2048 tokens."""
-    return packing.pack(docs)
+    """The places of all documents' pieces in sequences of 2048 tokens, which follow the mix."""
+    return packing.pack(docs, ordered=True)
 
 
 #: Each stage works on what the one before wrote.

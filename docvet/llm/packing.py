@@ -9,17 +9,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docvet.llm import kernels
-from docvet.llm.shared import Scratch, numbered, stored
+from docvet.llm.shared import Scratch, from_files, in_file_order, numbered, stored
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; a worker that has more starts anew.
 REMEMBERED_WORDS = 500_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
+#: A document has fewer pieces: the tokens of 2 GiB of text, the most that a string holds.
+MOST_PIECES = 1 << 21
+
+
+#: Texts on which words and the whole tokenizer must agree.
+PROBE = [
+    "", " ", "  Two  spaces\tand\na\r\nline ", "THE Quick brown fox's co-operation, (e.g.) 3.14% of $1,000; a_b@c.d/e?f=g&h!", "ÄÖÜ äöüß ÉÈ naïve Straße İstanbul ǅ ﬁ ½ e\u0301 \u00a0x\u3000y",
+    "日本語 текст ελληνικά 😀👍🏽 \u200bzero \ufeffmark", "don't CAN'T I'll we've 'quoted' \"double\" --- ... ?! a.b.c. x,y", "supercalifragilisticexpialidocious1234567890 0x1F 1e-9 aaaaaaaaaaaaaaaaaaaaaaaa", "<|endoftext|> <|x", "word." * 5 + " end.", "a.", ".", "Hello!? ok: so; yes,",
+]
 
 
 def default_tokenizer() -> str:
@@ -33,7 +42,8 @@ class WordTokens:
 
     The tokenizer lower-cases, and no token crosses white space, so a text's ids are those of its words in a row. A word
     of ASCII and lower-case Latin-1 letters needs no normalising and goes to the model alone; all others, and all words of
-    a part that holds "<|", which begins the special tokens, go through the whole tokenizer.
+    a part that holds "<|", which begins the special tokens, go through the whole tokenizer. Whether that holds for the
+    tokenizer of a file is tried on PROBE; where it doesn't, every text goes through the whole tokenizer.
     """
 
     PLAIN = re.compile("[a-zß-öø-ÿ]+")
@@ -51,6 +61,10 @@ class WordTokens:
         self.model.normalizer = None
         self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
+        self.by_words = True
+        want = [np.array(x.ids, np.uint32) for x in self.whole.encode_batch_fast(PROBE, add_special_tokens=False)]
+        self.by_words = all(np.array_equal(a, b) for a, b in zip(want, self.texts(pa.array(PROBE)), strict=True))
+        self.forget()
 
     def forget(self) -> None:
         self.slot: dict[int, int] = {}
@@ -114,6 +128,10 @@ class WordTokens:
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
+        if not self.by_words:
+            for text in column.to_pylist():
+                yield np.array(self.whole.encode(text or "", add_special_tokens=False).ids, np.uint32)
+            return
         data, offsets = kernels.texts_of(column)
         for i, j in kernels.spans_of(offsets):
             part = data[offsets[i] : offsets[j]]
@@ -141,20 +159,21 @@ def tokens_of(path: str | None) -> WordTokens:
 
 
 def token_pieces(path: str | None, capacity: int):
-    """For mapInArrow over doc_id and text: the pieces of each document's ids, an id 0 behind them."""
+    """For mapInArrow over doc_id, text and a place: the pieces of each document's ids, an id 0 behind them."""
 
     def run(batches):
         tokens = tokens_of(path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens.texts(batch.column(1)), strict=True):
+            places = batch.column(2).to_pylist()
+            for doc, place, ids in zip(batch.column(0).to_pylist(), places, tokens.texts(batch.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
                 for piece, at in enumerate(range(0, len(ids), capacity)):
                     some = ids[at : at + capacity]
-                    out.append((doc, piece, at, len(some), zlib.crc32(some.tobytes())))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc, piece, at, len(some), zlib.crc32(some.tobytes()), place))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
     return run
 
@@ -225,7 +244,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, ordered: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids, by the tokenizer file without special tokens, then id 0; null text counts as empty, so a
@@ -233,22 +252,32 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     All pieces of all documents are packed by one best-fit decreasing: since only lengths matter, the driver plans with the
     number of pieces of each length, of which there are at most capacity, and each piece takes the place of its rank
     among those of its length. Repeated rows are packed one by one. No documents: no rows.
+
+    ordered: documents have an order, that of the rows in their files. Pieces of one length take their places in that order,
+    and sequences are numbered in the order of their first pieces, so that a mix of sources goes on in the sequences.
     """
     spark = docs.sparkSession
     with Scratch(spark) as tmp:
-        pieces = tmp.stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(token_pieces(tokenizer, capacity), PIECES), "pieces")
+        place = F.lit(None).cast("long")
+        if ordered:
+            docs = in_file_order(from_files(docs).select("doc_id", "text"), "place")
+            place = F.col("place")
+        pieces = tmp.stored(docs.select(F.col("doc_id").cast("long"), "text", place.alias("place")).mapInArrow(token_pieces(tokenizer, capacity), PIECES), "pieces")
         counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
         plan: dict[int, list[tuple]] = {}
         for length, *rest in best_fit_decreasing(counts, capacity):
             plan.setdefault(length, []).append(tuple(rest))
         schema = "length long, _runs array<struct<first: long, end: long, bin: long, each: long, at: long>>"
         runs = F.broadcast(spark.createDataFrame(list(plan.items()), schema))
-        order = ["doc_id", "piece", "start", "ids_crc32"]
-        out = numbered(pieces, "length", order, "_rank", sum(counts.values()), "pieces").join(runs, "length")
+        order = ["place", "piece"] if ordered else ["doc_id", "piece", "start", "ids_crc32"]
+        out = numbered(pieces, "length", order, "_rank", sum(counts.values()), F.col("place") if ordered else None).join(runs, "length")
         out = out.withColumn("_run", F.expr("filter(_runs, r -> _rank >= r.first and _rank < r.end)[0]"))
         placed = out.select(
             "doc_id", "piece", "start", "length", "ids_crc32",
             F.expr("_run.bin + (_rank - _run.first) div _run.each").alias("sequence_id"),
-            F.expr("_run.at + (_rank - _run.first) % _run.each * length").alias("offset"),
+            F.expr("_run.at + (_rank - _run.first) % _run.each * length").alias("offset"), "place",
         )
-        return stored(placed, "packed")
+        if ordered:
+            first = F.min(F.col("place") * MOST_PIECES + F.col("piece")).over(Window.partitionBy("sequence_id"))
+            placed = placed.withColumn("_first", first).withColumn("sequence_id", F.col("_first")).drop("_first")
+        return stored(placed.drop("place"), "packed")

@@ -135,5 +135,5 @@ def minimax_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
         shard = F.lit(0)
         for first in firsts:
             shard = shard + (F.col("key") >= F.lit(first)).cast("int")
-        out = numbered(rows.withColumn("shard", shard), "shard", ["doc_id", "key"], "slot", rows.count(), "slots")
+        out = numbered(rows.withColumn("shard", shard), "shard", ["doc_id", "key"], "slot", rows.count())
         return stored(out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")), "shards")

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table (a few dozen bytes each) that may be broadcast; beyond it joins shuffle.
@@ -124,15 +124,27 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def numbered(df: DataFrame, group: str, order: list, out: str, rows: int, name: str, per_bucket: int = 50_000) -> DataFrame:
+def in_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """docs, which come straight from files, with a column name: the rows' number from 0, files in the order of their names."""
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select("*", meta["file_path"].alias("_path"), meta["row_index"].alias("_row"))
+    files = rows.groupBy("_path").agg(F.max("_row").alias("_last")).select(F.col("_path").alias("_file"), "_last")  # a short row a file
+    before = Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_file", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_first"))
+    return rows.join(files, F.col("_path") == F.col("_file")).select(*docs.columns, (F.col("_first") + F.col("_row")).alias(name))
+
+
+def numbered(df: DataFrame, group: str, order: list, out: str, rows: int, by: Column | None = None, per_bucket: int = 50_000) -> DataFrame:
     """df and a column out: a gapless number from 0 within each value of group.
 
     Rows are dealt by a hash of the order columns into buckets of about per_bucket rows, numbered there, and each bucket
     starts where the one before ends; so a group with a third of all rows is numbered by many tasks. The order within a group
-    is thus pseudo-random but fixed: (bucket, order columns). df is read twice and must give the same rows both times.
+    is thus pseudo-random but fixed: (bucket, order columns). by: a whole number that the order columns never lessen, and that
+    few rows share; then it makes the buckets, and the order is that of the columns. df is read twice and must give the same
+    rows both times.
     """
     buckets = max(1, -(-rows // per_bucket))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if by is None else F.floor(by / per_bucket).cast("int"))
     sizes = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(group).alias("_group"), F.col("_bucket").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -1,3 +1,4 @@
+import bisect
 from fractions import Fraction
 
 from hypothesis import given, settings
@@ -7,27 +8,45 @@ from pyspark.sql import functions as F
 from docvet.llm import mixing
 
 
+def fluid(blocks, weights, t):
+    """What each source has of the first t slots if every slot is shared out exactly."""
+    done, left = [Fraction(0)] * len(blocks), Fraction(t)
+    while left > 0:
+        active = [k for k, n in enumerate(blocks) if done[k] < n]
+        total = sum(Fraction(weights[k]) for k in active)
+        step = min(left, min((blocks[k] - done[k]) * total / Fraction(weights[k]) for k in active))
+        for k in active:
+            done[k] += step * Fraction(weights[k]) / total
+        left -= step
+    return done
+
+
+def check_lag(blocks, weights, every=1):
+    slots = mixing.pfair(blocks, mixing.whole(weights))
+    assert sorted(t for s in slots for t in s) == list(range(sum(blocks))) and list(map(len, slots)) == blocks
+    for t in range(0, sum(blocks) + 1, every):
+        for s, exact in zip(slots, fluid(blocks, weights, t), strict=True):
+            assert abs(bisect.bisect_left(s, t) - exact) < 1
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.floats(0.01, 100), min_size=1, max_size=12))
-def test_lag_stays_under_one_block(weights):
-    c = mixing.shares(weights, 96)
-    given_ = mixing.pfair(c)
-    assert sum(c) == 96 and sorted(t for g in given_ for t in g) == list(range(96))
-    for n, slots in zip(c, given_, strict=True):
-        for t in range(97):
-            assert abs(sum(s < t for s in slots) - Fraction(n * t, 96)) < 1
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 60), st.floats(0.05, 5)), min_size=1, max_size=6))
-def test_phases_place_every_block_once(sources):
-    blocks, weights = [b for b, _ in sources], [w for _, w in sources]
-    slots = []
-    for n, plan in zip(blocks, mixing.phases(blocks, weights, 32), strict=True):
-        assert [p[0] for p in plan] == [0, *(p[1] for p in plan[:-1])] and plan[-1][1] == n
-        for first, end, base, c, d, given_ in plan:
-            slots += [base + b // c * d + given_[b % c] for b in range(end - first)]
-    assert sorted(slots) == list(range(sum(blocks)))
+@given(st.lists(st.tuples(st.integers(1, 40), st.floats(0.0001, 100)), min_size=1, max_size=8))
+def test_lag_stays_under_one_block(sources):
+    check_lag([b for b, _ in sources], [w for _, w in sources])
+
+
+def test_weights_of_one_in_ten_thousand_and_hot_sources():
+    check_lag([3, 30_000], [1e-4, 1 - 1e-4], 97)
+    check_lag([3000] + [300] * 19, [1e6**0.7] + [1e5**0.7] * 19, 53)
+    check_lag([3000, 3000, 5], [1e7**0.7, 1e7**0.7, 5e3**0.7], 7)
+
+
+def test_many_sources():
+    plan = {k: 0 for k in range(6000)}
+    for k, _, phase, slot, release, deadline, start in mixing.plan_rows([1 + k % 70 for k in range(6000)], [1.0 + k % 7 for k in range(6000)], 32, 64):
+        assert all(r <= s < d for r, s, d in zip(release, slot, deadline, strict=True)) and phase == sorted(phase)
+        plan[k] += len(start)
+    assert plan == {k: -(-(1 + k % 70) // 32) for k in range(6000)}
 
 
 def rows_of(spark):
@@ -57,16 +76,6 @@ def test_no_documents(spark):
     assert mixing.mix(docs).count() == 0 and mixing.mixed(docs).count() == 0
 
 
-def test_lag_against_the_given_weights_over_many_periods():
-    for blocks, weights in [([40, 20000], [0.001, 0.999]), ([3000] + [300] * 19, [1e6**0.7] + [1e5**0.7] * 19), ([3000, 3000, 5], [1e7**0.7, 1e7**0.7, 5e3**0.7])]:
-        first = [p[0] for p in mixing.phases(blocks, weights, 64)]
-        of = {base + b // c * d + slots[b % c]: k for k, (start, end, base, c, d, slots) in enumerate(first) if base == 0 for b in range(end - start)}
-        done, total = [0] * len(blocks), sum(map(Fraction, weights))
-        for t in range(len(of)):
-            done[of[t]] += 1
-            assert all(abs(n - Fraction(w) * (t + 1) / total) < 1 for n, w in zip(done, weights, strict=True))
-
-
 def test_written_plan_places_the_same_rows(spark, monkeypatch):
     docs = rows_of(spark)
     given_ = {"hot": 0.7123, "s0": 0.001, "s1": 0.0, None: 0.5}

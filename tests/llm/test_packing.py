@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docvet.llm import kernels, packing
@@ -94,3 +95,39 @@ def test_pack(spark):
 
 def test_no_documents(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_another_tokenizer():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    got = packing.WordTokens(path)
+    assert not got.by_words and packing.WordTokens(None).by_words
+    assert [x.tolist() for x in got.texts(pa.array(ODD))] == [e.ids for e in whole.encode_batch([t or "" for t in ODD], add_special_tokens=False)]
+
+
+def test_sequences_follow_the_files_order(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green"]) for _ in range(rng.choice([1, 5, 20, 60, 60, 60])))) for i in rng.sample(range(1000), 300)]
+    orders = []
+    for n, some in enumerate((rows, rows[::-1])):
+        path = str(tmp_path / str(n))
+        spark.createDataFrame(some, "doc_id long, text string").repartition(1).write.parquet(path)
+        docs = spark.read.parquet(path)
+        place = {r.doc_id: k for k, r in enumerate(docs.collect())}
+        got = packing.pack(docs.withColumn("place", F.lit("x")), capacity=64, ordered=True).collect()
+        assert sorted(map(str, ((r.doc_id, r.piece, r.length) for r in got))) == sorted(map(str, ((r.doc_id, r.piece, r.length) for r in packing.pack(docs, capacity=64).collect())))
+        held = {}
+        for r in got:
+            held.setdefault(r.sequence_id, []).append(r)
+        for members in held.values():
+            at = 0
+            for r in sorted(members, key=lambda r: r.offset):
+                assert r.offset == at
+                at += r.length
+            assert at <= 64
+        firsts = [min(place[r.doc_id] for r in held[s]) for s in sorted(held)]
+        assert firsts == sorted(firsts)
+        orders.append([r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))])
+    assert orders[0] != orders[1]

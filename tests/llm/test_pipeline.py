@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from docvet.llm import toxicity
+from docvet.llm import mixing, toxicity
 from tests.llm.test_near_dedup import brute
 
 
@@ -45,3 +45,14 @@ def test_columns_and_rows(stages, spark):
 def test_run(spark, stages):
     got = P.run(spark, "/root/testdata/sf0.001")
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in stages[-1].collect()} - {None}
+
+
+def test_sequences_follow_the_weights(stages, spark, tmp_path):
+    far, starts = stages[3], {}
+    hot = max(r.source for r in far.select("source").distinct().collect() if r.source)
+    for weight in (1000.0, 0.0001):
+        path = str(tmp_path / str(weight))
+        mixing.mixed(far, {hot: weight}, power=0.0, block_rows=1).write.parquet(path)
+        first = P.packed(spark, spark.read.parquet(path), "").join(far.select("doc_id", "source"), "doc_id").orderBy("sequence_id", "offset").limit(40).collect()
+        starts[weight] = sum(r.source == hot for r in first)
+    assert starts[1000.0] > starts[0.0001]
