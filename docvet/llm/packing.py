@@ -262,7 +262,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
         if ordered:
             docs = in_file_order(from_files(docs).select("doc_id", "text"), "place")
             place = F.col("place")
-        pieces = tmp.stored(docs.select(F.col("doc_id").cast("long"), "text", place.alias("place")).mapInArrow(token_pieces(tokenizer, capacity), PIECES), "pieces")
+        pieces = tmp.stored(docs.select(F.col("doc_id").cast("long"), "text", place.alias("place")).mapInArrow(kernels.trimmed(token_pieces(tokenizer, capacity)), PIECES), "pieces")
         counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
         plan: dict[int, list[tuple]] = {}
         for length, *rest in best_fit_decreasing(counts, capacity):

@@ -413,6 +413,7 @@ def _solved(table: pa.Table) -> pa.Table:
     runs, lens, least = solve(np.frombuffer(b"".join(counts), U8).astype(I64), off, doc, text)
     entry, run = np.cumsum([0, *n]), np.concatenate([[0], np.cumsum(runs)])
     blobs = [pack_runs(runs[a:b], lens[run[a] : run[b]], least[run[a] : run[b]]) for a, b in zip(entry[:-1], entry[1:], strict=True)]
+    kernels.trim()
     return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "runs": pa.array(blobs, pa.binary())})
 
 
@@ -453,20 +454,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A part's size is fixed, their number grows with the input. A gram that is everywhere comes to its part once per chunk
     with each of the strings around it there. The written tables stay until the driver ends.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_to_chunks, "docs array<long>, ends array<long>, data binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(kernels.trimmed(_to_chunks), "docs array<long>, ends array<long>, data binary")
     chunks = stored(rows.select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
     size = chunks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     parts = max(8, -(-size * 2 // (WINDOW - GRAM + 2) // PART_ANCHORS))
 
-    masks = stored(chunks.mapInArrow(_prints(parts), "part int, chunk long, prints binary").groupBy("part").applyInArrow(_shared, "chunk long, part int, bits binary"), "masks")
+    masks = stored(chunks.mapInArrow(kernels.trimmed(_prints(parts)), "part int, chunk long, prints binary").groupBy("part").applyInArrow(_shared, "chunk long, part int, bits binary"), "masks")
     by_chunk = masks.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("masks"))
     fields = "part int, chunk long, counts binary, offs binary, doc binary, text binary"
     results = stored(
-        chunks.join(by_chunk, "chunk", "left").mapInArrow(_strings(parts), fields).groupBy("part").applyInArrow(_solved, "chunk long, part int, runs binary"), "results"
+        chunks.join(by_chunk, "chunk", "left").mapInArrow(kernels.trimmed(_strings(parts)), fields).groupBy("part").applyInArrow(_solved, "chunk long, part int, runs binary"), "results"
     )
     solved = results.groupBy("chunk").agg(F.collect_list(F.struct("part", "runs")).alias("results"))
     found = chunks.join(by_chunk, "chunk", "left").join(solved, "chunk", "left")
-    return found.mapInArrow(_report(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.mapInArrow(kernels.trimmed(_report(parts)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -222,11 +222,11 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = COUNTERFACTUAL) -
         if not 0 < positive < n:
             return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))))
         p = positive / n
-        counts = sample.mapInArrow(_counts, "feature long, texts long, toxic long").groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
+        counts = sample.mapInArrow(kernels.trimmed(_counts), "feature long, texts long, toxic long").groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
         far = F.abs(F.col("toxic") - F.col("texts") * p) / F.sqrt(F.col("texts") * (p * (1 - p)))
         best = counts.filter(f"texts >= {LEAST_TEXTS}").orderBy(far.desc(), "feature").limit(FEATURES).select("feature").collect()
         hashes = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
-        rows = sample.mapInArrow(_sample_rows(hashes), "toxic int, own array<int>, swap array<int>").collect()
+        rows = sample.mapInArrow(kernels.trimmed(_sample_rows(hashes)), "toxic int, own array<int>, swap array<int>").collect()
     rows.sort(key=lambda r: (r.toxic, r.own))
     w, b = fit(np.array([r.toxic for r in rows], float), [r.own for r in rows], [r.swap for r in rows], len(hashes), penalty)
     return Model(hashes, w, b)
@@ -244,7 +244,7 @@ def _scorer(model: Model):
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs as _doc, and their _score. Null and empty texts get the score of no features."""
     schema = ",".join(f"`{c}`:{t}" for c, t in docs.dtypes)
-    return docs.select(F.struct(*docs.columns).alias("_doc")).mapInArrow(_scorer(model), f"_doc struct<{schema}>, _score double")
+    return docs.select(F.struct(*docs.columns).alias("_doc")).mapInArrow(kernels.trimmed(_scorer(model)), f"_doc struct<{schema}>, _score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
