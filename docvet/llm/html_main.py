@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docvet.llm import kernels
+
 #: Fixed values. Elements that hold no text of the page, whose content is dropped.
 DROPPED = frozenset("script style noscript template svg math head title iframe object canvas audio video map select option datalist button textarea input label form fieldset dialog menu nav aside footer".split())
 #: Elements whose content is raw: markup in it is none.
@@ -35,8 +38,14 @@ MOST_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.33, 70, 200, 0.08, 0.16
 #: Where article elements are a sign, only blocks in them that are nearly all links count as bad.
 ARTICLE_LINKS = 0.75
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']++|"[^"]*+"|'[^']*+')*+))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Bounds of a quoted value, and of their number in a tag, within which quotes keep a tag open; a tag beyond them ends with the
+#: next >. They bound what a broken tag costs.
+QUOTED, QUOTES = 8192, 64
+_TOKEN = re.compile(
+    rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]{{0,64}})((?>[^>"']*+(?:(?:"[^"]{{0,{QUOTED}}}"|'[^']{{0,{QUOTED}}}')[^>"']*+){{0,{QUOTES}}}+))>|<(/?)([a-zA-Z][^\s/>]{{0,64}})([^>]*)>""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s{0,64}=\s{0,64}("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _SPLIT = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -52,17 +61,21 @@ class Block:
 def _marked(name: str, attributes: str) -> bool:
     for key, value in _ATTRIBUTE.findall(attributes):
         value, key = value.strip("\"'").lower(), key.lower()
+        if key == "hidden":
+            return True
         if key == "style":
             if _HIDDEN.search(value):
                 return True
         elif key == "aria-hidden":
             if value == "true":
                 return True
-        elif key != "hidden" and name not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_SPLIT.split(value)):
-            return True
-        elif name == "article" and not {"comment", "comments", "reply", "teaser", "related", "promo"}.isdisjoint(_SPLIT.split(value)):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes)) or False
+        elif key in ("class", "id", "role"):
+            words = _SPLIT.split(value)
+            if name not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words):
+                return True
+            if name == "article" and not {"comment", "comments", "reply", "teaser", "related", "promo"}.isdisjoint(words):
+                return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
@@ -72,6 +85,7 @@ def blocks(page: str) -> list[Block]:
     links = 0
     #: Open elements: name, whether its text is dropped, in an article, in a link.
     stack: list[tuple[str, bool, bool, bool]] = []
+    opened: Counter[str] = Counter()  # names on the stack
     heading = dropped = article = link = False
 
     def end() -> None:
@@ -86,9 +100,17 @@ def blocks(page: str) -> list[Block]:
         nonlocal dropped, article, link
         _, dropped, article, link = stack[-1] if stack else ("", False, False, False)
 
-    at, n = 0, len(page)
+    def close(k: int) -> None:
+        for name, *_ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
+    # Behind the last > no tag ends; what follows is text up to an unfinished comment.
+    last = page.rfind(">") + 1
+    tail = page.find("<!", last)
+    at, n = 0, len(page) if tail < 0 else tail
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, last)
         stop = m.start() if m else n
         if stop > at and not dropped:
             text = html.unescape(page[at:stop])
@@ -104,9 +126,9 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:  # an end tag closes the innermost such element and all in it; without one it is passed over
             if name not in INLINE:
                 end()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     break
                 if name in INLINE and stack[k][0] not in INLINE:
                     break
@@ -120,20 +142,19 @@ def blocks(page: str) -> list[Block]:
         else:
             end()
             while stack and stack[-1][0] in INLINE:  # a block ends what inline elements were left open
-                stack.pop()
-            if stack and stack[-1][0] == name and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
-            elif stack and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
+            if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                close(len(stack) - 1)
             state()
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if name in RAW and not attributes.endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            end_tag = re.compile(rf"</{re.escape(name)}\s{{0,64}}>", re.I).search(page, at)
+            at = end_tag.end() if end_tag else n
             continue
         if name in VOID or attributes.endswith("/"):
             continue
         gone = dropped or name in DROPPED or (name == "header" and not article) or (bool(attributes) and _marked(name, attributes))
+        opened[name] += 1
         stack.append((name, gone, article or (name in ("article", "main") and not gone), link or name == "a"))
         dropped, article, link = stack[-1][1:]
     end()
@@ -212,8 +233,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     text is the main text: the blocks that labels() keeps, in page order, joined by one space; white space in a block is
     one space, character references are decoded once. Null or empty html, and pages without main text, give an empty text.
-    Markup may be broken: end tags without element are passed over, open elements end with the page.
+    Markup may be broken: end tags without element are passed over, open elements end with the page. A page takes time in
+    proportion to its length, however broken.
     """
     return pages.selectExpr("cast(page_id as bigint) as page_id", "cast(url as string) as url", "cast(html as string) as html").mapInArrow(
-        _run, "page_id long, url string, text string, n_chars long"
+        kernels.trimmed(_run), "page_id long, url string, text string, n_chars long"
     )

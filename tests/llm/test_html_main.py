@@ -61,3 +61,28 @@ def test_an_article_element_is_only_a_sign():
     assert H.main_text(f"<body>{card}<div>{LONG} {LONG}</div><div>{LONG}</div></body>").endswith(f"{LONG} {LONG} {LONG}")
     codes = "zx81 qwerty asdf " * 8
     assert H.main_text(f"<body><p>Menu</p><article><p>{LONG}</p><p>{codes}</p><p>So.</p></article><p>{LONG}</p><p>{codes}</p></body>") == f"{LONG} {codes.strip()} So. {LONG}"
+
+
+def test_hidden_elements():
+    for attribute in ("hidden", 'hidden=""', "hidden='hidden'", "HIDDEN=until-found", 'aria-hidden="true"', "style='visibility: hidden'"):
+        assert H.main_text(f"<article><div {attribute}>{LONG}</div><p>{LONG}</p></article>") == LONG
+    assert H.main_text(f"<article><p title='the hidden gem' data-hidden=x aria-hidden=false>{LONG}</p></article>") == LONG
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for part in ('<a "', '<a ">" ', "<a href='x ", "<div></span>", "<a ", "<!-- ", "<b><div></i>", '<a b="', "<p class ", "</p ", "<script>"):
+        H.main_text(part * 100_000 + "<p>x</p>" + part * 10)
+    assert time.time() - began < 60
+
+
+def test_whole_table_without_article_elements(spark, sf):
+    import re
+
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    bare = [(i, u, re.sub("<(/?)(?:article|main)>", r"<\1div>", h)) for i, u, h in pages]
+    want, got = ({r.page_id: r.text.split() for r in H.extract(spark.createDataFrame(x, "page_id long, url string, html string")).collect()} for x in (pages, bare))
+    common = sum(len(set(want[i]) & set(got[i])) for i in want)
+    assert common >= 0.9 * sum(len(set(w)) for w in want.values()) and common >= 0.9 * sum(len(set(w)) for w in got.values())
