@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from docvet.llm.shared import Scratch, few, fresh, from_files, settings, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The state lies on disk; without fallocate, so that many small stores don't each reserve megabytes.
+#: The state lies on disk; without fallocate, so that many small stores don't each reserve megabytes, and with one bound on
+#: the memory of all stores of an executor.
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 

@@ -16,8 +16,8 @@ from docvet.llm import kernels
 from docvet.llm.shared import Scratch, from_files, in_file_order, numbered, stored
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers; a worker that has more starts anew.
-REMEMBERED_WORDS = 500_000
+#: Words whose ids a Python worker remembers; a worker that has more starts anew. At the end of a task it may keep fewer.
+REMEMBERED_WORDS, KEPT_WORDS = 200_000, 60_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 #: A document has fewer pieces: the tokens of 2 GiB of text, the most that a string holds.
@@ -174,6 +174,8 @@ def token_pieces(path: str | None, capacity: int):
             cols = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
+        if len(tokens.slot) > KEPT_WORDS:
+            tokens.forget()
 
     return run
 
