@@ -55,6 +55,11 @@ def all_text() -> Column:
     return F.array_join(F.transform(F.filter("paragraphs", lambda p: p["text"] != ""), lambda p: p["text"]), "\n")
 
 
+def least_alpha(p: Column) -> Column:
+    """The least alpha of a page's runs, of a struct of a paragraph; null where none is known."""
+    return F.array_min(F.transform(p["runs"], lambda r: r["alpha"]))
+
+
 def evidence(detector: str, severity: Column | str, title: Column, raw: dict[str, Column], **at: Column) -> Column:
     """One finding; at: the fields of its place that are known."""
     severity = F.lit(severity) if isinstance(severity, str) else severity

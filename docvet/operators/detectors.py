@@ -214,6 +214,19 @@ COLUMNS: dict[str, Callable[[], Column]] = {
 }
 
 
+def register(detector: str, name: str, kinds: tuple[str, ...], make: Callable[[], Column]) -> None:
+    """Adds a detector: make gives a column of findings, made with ir.evidence(), of a row of the model. A taken id raises."""
+    if detector in fixed.DETECTORS:
+        raise ValueError(f"there is a detector {detector} already")
+    fixed.DETECTORS[detector] = (name, " ".join(kinds))
+    COLUMNS[detector] = make
+
+
+def remove(detector: str) -> None:
+    """Takes a detector that register() added out again."""
+    del fixed.DETECTORS[detector], COLUMNS[detector]
+
+
 def place_text(e: Column) -> Column:
     """A finding's place as text, by which findings of a detector are ordered: 10 stands before 2."""
     show = lambda c: F.coalesce(c.cast("string"), F.lit("None"))

@@ -76,6 +76,29 @@ def rendered(decided: DataFrame) -> Column:
     return F.to_json(F.struct(inner.alias("hookSpecificOutput")))
 
 
+def hook_exit_code(decided: DataFrame, settings: Settings | None = None) -> Column:
+    """2 where a read is denied by the exit code alone (the answer can't be made or shown), else 0: a gate that fails closed
+    answers a payload without outcome with 2, one that fails open with 0."""
+    return F.when(F.col("outcome").isNull() & F.lit((settings or Settings()).fail_closed), 2).otherwise(0)
+
+
+def rendered_post() -> Column:
+    """The answer to a payload after a tool has run, as JSON with the context alone; empty where there is nothing to say."""
+    inner = F.struct(F.lit("PostToolUse").alias("hookEventName"), F.col("context").alias("additionalContext"))
+    return F.when(F.col("context").isNull(), "").otherwise(F.to_json(F.struct(inner.alias("hookSpecificOutput"))))
+
+
+def post_tool_audit(seen: DataFrame, tool: str, at: Column) -> DataFrame:
+    """The audit rows of what post_tool() saw: one for each response with such characters, always allowed."""
+    none = lambda kind: F.lit(None).cast(kind)
+    counts = F.concat(F.lit("invisible="), F.col("n_invisible").cast("string"), F.lit(", bidi="), F.col("n_bidi").cast("string"))
+    return seen.filter("context is not null").select(
+        at.alias("timestamp"), F.col(tool).alias("file"), F.lit("tool_response").alias("kind"), F.lit("ok").alias("status"), none("double").alias("risk_score"),
+        none("struct<info: int, low: int, medium: int, high: int, critical: int, total: int>").alias("summary"), none("string").alias("trust_label"), F.lit("allow").alias("decision"),
+        F.lit(fixed.POST_TOOL_RULE).alias("rule_id"), F.lit(False).alias("sanitized"), counts.alias("note"),
+    )
+
+
 #: A string of a JSON text, with the colon behind it if it names a field.
 JSON_STRING = r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?'
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,45 @@ def to_json(verdicts: DataFrame, pretty: bool = False) -> DataFrame:
     return verdicts.withColumn("report", F.to_json(report(verdicts), NULLS | {"pretty": str(pretty).lower()}))
 
 
+#: Reporters by name: from rows with path, source, evidence, error to rows with one column of lines. register() adds to them.
+REPORTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register(name: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
+    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        REPORTERS[name] = f
+        return f
+
+    return add
+
+
+def reporter(name: str) -> Callable[[DataFrame], DataFrame]:
+    if name not in REPORTERS:
+        raise ValueError(f"no reporter {name}; there are {', '.join(sorted(REPORTERS))}")
+    return REPORTERS[name]
+
+
+@register("jsonl")
+def json_lines(verdicts: DataFrame) -> DataFrame:
+    """A JSON object for each file, in the order of paths."""
+    return to_json(verdicts).orderBy("path").select("report")
+
+
+@register("json")
+def json_pretty(verdicts: DataFrame) -> DataFrame:
+    return to_json(verdicts, pretty=True).orderBy("path").select("report")
+
+
+@register("table")
+def table(verdicts: DataFrame) -> DataFrame:
+    """A line for each finding: detector, severity, title, place; files without one say so."""
+    e = F.col("e")
+    line = F.concat_ws("  ", F.rpad(e["detector_id"], 8, " "), F.rpad(e["severity"], 8, " "), e["title"], short_place(e))
+    empty = F.when(F.col("error").isNotNull(), F.concat(F.lit("scan error: "), F.coalesce("error.message", F.lit("")))).otherwise("no evidence")
+    rows = verdicts.select("path", "error", F.posexplode_outer("evidence").alias("k", "e"))
+    return rows.orderBy("path", "k").select(F.concat(F.col("path"), F.lit("  "), F.when(e.isNull(), empty).otherwise(line)).alias("line"))
+
+
 def filtered(verdicts: DataFrame, severity: str) -> DataFrame:
     """Only findings of at least a severity; labels and decisions made of all findings go."""
     return verdicts.withColumn("evidence", scoring.at_least(F.col("evidence"), severity)).drop("label", "score", "structure", "content", "meta", "reasons", "risk", "decision")

@@ -431,3 +431,127 @@ def q_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docvet.plans.engine import Engine
 
     return Engine(spark).detectors().select("id", "name")
+
+
+# ---- model documents made of orders: what a reader would give, with SQL that names the expected findings outright ----------
+
+
+def order_documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Orders as documents, their lines as pages of one run: a line of status F is flagged hidden, flag R is near-white, A black,
+    line 7 nearly transparent; a point for ten pieces."""
+    line = F.col("l_linenumber").cast("int")
+    none = lambda t: F.lit(None).cast(t)
+    run = F.struct(
+        F.col("l_returnflag").alias("text"), (F.col("l_quantity") / 10).cast("double").alias("font_size"), F.when(F.col("l_returnflag") == "R", "ffffff").when(F.col("l_returnflag") == "A", "000000").alias("color"),
+        (F.col("l_linestatus") == "F").alias("is_hidden"), F.when(line == 7, 0.05).otherwise(1.0).alias("alpha"),
+    )
+    page = F.struct(line.alias("idx"), F.col("l_returnflag").alias("text"), F.lit("s").alias("sheet"), F.lit(1).alias("row"), line.alias("col"), none("int").alias("slide"), none("string").alias("element"), F.array(run).alias("runs"))
+    note = F.struct(line.alias("page"), F.lit("/Text").alias("subtype"), F.when(F.col("l_returnflag") == "N", "  ").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("contents"))
+    orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("doc")).agg(
+        F.collect_list(page).alias("paragraphs"), F.collect_list(note).alias("annotations"),
+        F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == "N", " \t").otherwise(F.concat("l_returnflag", "l_linestatus")))).alias("comments"),
+        F.collect_set(F.when(F.col("l_returnflag") == "R", F.concat(F.lit("word/vbaProject"), F.col("l_linestatus"), F.lit(".bin"))).otherwise("word/document.xml")).alias("parts"),
+        F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "R", line))).alias("hidden"),
+    )
+    sheet = F.struct(F.lit("s").alias("name"), F.when(F.col("doc") % 3 == 0, "hidden").when(F.col("doc") % 3 == 1, "veryHidden").otherwise("visible").alias("state"), F.array().cast("array<int>").alias("rows_hidden"), F.col("hidden").alias("cols_hidden"))
+    return ir.complete(orders.select("doc", F.lit(kind).alias("kind"), F.col("doc").cast("string").alias("source"), "paragraphs", "annotations", "comments", "parts", F.array(sheet).alias("sheets")), ["doc"])
+
+
+def order_findings(spark: SparkSession, sf_dir: str, kind: str, detector: str) -> DataFrame:
+    skip = tuple(d for d in fixed.DETECTORS if d != detector)
+    return detectors.detect(order_documents(spark, sf_dir, kind), ["doc"], skip).select("doc", F.explode("evidence").alias("e"))
+
+
+@query(
+    "select l_orderkey as doc, l_linenumber::int as paragraph, 'high' as severity, 'Hidden text via styling' as title, concat_ws('; ', case when l_linestatus = 'F' then 'flagged hidden (w:vanish / display:none / hidden cell)' end, "
+    "case when l_returnflag = 'R' then 'near-white text color #FFFFFF' end, case when l_linenumber = 7 then 'transparent text (alpha=0.05)' end) as reasons from lineitem where l_linestatus = 'F' or l_returnflag = 'R' or l_linenumber = 7"
+)
+def q_hidden_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = order_findings(spark, sf_dir, "docx", "DET-002")
+    return e.select("doc", "e.paragraph", "e.severity", "e.title", F.col("e.raw")["reasons"].alias("reasons"))
+
+
+@query("select l_orderkey as doc, l_linenumber::int as paragraph, 'medium' as severity, (l_quantity / 10)::double as font_size from lineitem where l_quantity > 0 and l_quantity <= 20")
+def q_tiny_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = order_findings(spark, sf_dir, "pptx", "DET-003")
+    return e.select("doc", "e.paragraph", "e.severity", F.col("e.raw")["font_size"].cast("double").alias("font_size"))
+
+
+@query(
+    "select l_orderkey as doc, case l_orderkey % 3 when 0 then 'hidden' else 'veryHidden' end as state, (2 * count(*) - 1)::int as text_length from lineitem where l_orderkey % 3 < 2 group by l_orderkey"
+)
+def q_hidden_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = order_findings(spark, sf_dir, "xlsx", "DET-004").filter("e.title like 'Hidden sheet:%'")
+    return e.select("doc", F.col("e.raw")["state"].alias("state"), F.col("e.raw")["text_length"].cast("int").alias("text_length"))
+
+
+@query(
+    "select l_orderkey as doc, min(l_linenumber)::int as first_col, array_to_string(list_sort(list(distinct l_linenumber)), ',') as cols from lineitem where l_returnflag = 'R' group by l_orderkey"
+)
+def q_hidden_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = order_findings(spark, sf_dir, "xlsx", "DET-004").filter("e.title like 'Hidden columns%'")
+    return e.select("doc", F.col("e.col").alias("first_col"), F.col("e.raw")["cols"].alias("cols"))
+
+
+@query(
+    "select l_orderkey as doc, 'OOXML hidden node: ' || l_returnflag as title, 'word/document.xml#' || l_returnflag as element, count(*)::int as n from lineitem where l_linestatus = 'F' group by l_orderkey, l_returnflag"
+)
+def q_ooxml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("tag")).agg(F.count("*").cast("int").alias("n"))
+    node = F.struct(F.lit("word/document.xml").alias("part"), "tag", "n", F.lit("x").alias("text"))
+    docs = ir.complete(lines.groupBy("doc").agg(F.collect_list(node).alias("nodes")).withColumn("kind", F.lit("docx")), ["doc"])
+    found = detectors.detect(docs, ["doc"]).select("doc", F.explode("evidence").alias("e"))
+    return found.select("doc", "e.title", "e.element", F.col("e.raw")["count"].cast("int").alias("n"))
+
+
+@query(
+    "select l_orderkey as doc, count(*) || ' Word comment(s) present' as title, count(*)::int as n, '[' || array_to_string(list_sort(list('\"' || l_returnflag || l_linestatus || '\"'))[:20], ',') || ']' as comments from lineitem where l_returnflag <> 'N' group by l_orderkey"
+)
+def q_word_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = order_findings(spark, sf_dir, "docx", "DET-006")
+    return e.select("doc", "e.title", F.col("e.raw")["count"].cast("int").alias("n"), F.col("e.raw")["comments"].alias("comments"))
+
+
+@query("select l_orderkey as doc, l_linenumber::int as page, '/Text' as subtype, l_returnflag || l_linestatus as contents from lineitem where l_returnflag <> 'N'")
+def q_pdf_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = order_findings(spark, sf_dir, "pdf", "DET-006")
+    return e.select("doc", "e.page", F.col("e.raw")["subtype"].alias("subtype"), F.col("e.raw")["contents"].alias("contents"))
+
+
+@query("select distinct l_orderkey as doc, 'medium' as severity, 'word/vbaProject' || l_linestatus || '.bin' as part from lineitem where l_returnflag = 'R'")
+def q_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = order_findings(spark, sf_dir, "docx", "DET-007")
+    return e.select("doc", "e.severity", F.col("e.raw")["part"].alias("part"))
+
+
+@query("select l_orderkey as doc, l_linenumber::int as page, case when l_linenumber = 7 then 0.05 else 1.0 end::double as alpha from lineitem")
+def q_least_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = order_documents(spark, sf_dir, "pdf").select("doc", F.explode("paragraphs").alias("p"))
+    return pages.select("doc", F.col("p.idx").alias("page"), ir.least_alpha(F.col("p")).alias("alpha"))
+
+
+@query(COUNTED_SQL + "select doc_id % 10 as folder, max(case when total > 0 then 1 else 0 end)::int as exit_code, count(*) filter (total > 0) as files from counts group by folder")
+def q_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = detectors.detect(text_documents(spark, sf_dir), ["doc_id"], kinds=("text",)).select("doc_id", scoring.exit_code().alias("code"))
+    return docs.groupBy((F.col("doc_id") % 10).alias("folder")).agg(F.max("code").alias("exit_code"), F.count_if(F.col("code") == 1).alias("files"))
+
+
+_SEEN_SQL = f"with {overlay.CONVERSATIONS_SQL}, seen as (select conv_id, turn, len(regexp_extract_all(text, '{_INVISIBLE_SQL}')) as i, len(regexp_extract_all(text, '{_BIDI_SQL}')) as b from turns) "
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = overlay.conversations(spark, sf_dir).withColumns({"response": F.to_json(F.struct("text")), "name": F.concat_ws("/", "conv_id", "turn")})
+    return gate.post_tool(turns, "response")
+
+
+@query(_SEEN_SQL + "select conv_id || '/' || turn as file, 'tool_response' as kind, 'allow' as decision, 'POL-TOOL-001' as rule_id, 'invisible=' || i || ', bidi=' || b as note from seen where i + b > 0")
+def q_post_tool_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.post_tool_audit(_seen(spark, sf_dir), "name", F.lit("t")).select("file", "kind", "decision", "rule_id", "note")
+
+
+@query(
+    _SEEN_SQL + "select conv_id, turn, case when i + b = 0 then '' else '{\"hookSpecificOutput\":{\"hookEventName\":\"PostToolUse\",\"additionalContext\":\"this tool result contains ' || i || ' invisible and ' || b || "
+    "' bidi control character(s) that a human reader does not see\"}}' end as answer from seen"
+)
+def q_post_tool_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seen(spark, sf_dir).select("conv_id", "turn", gate.rendered_post().alias("answer"))

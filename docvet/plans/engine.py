@@ -43,6 +43,19 @@ class Engine:
         found = found.withColumn("exit_code", scoring.exit_code(severity)).withColumn("evidence", scoring.at_least(F.col("evidence"), severity))
         return reports.to_json(found).select("path", "report", "exit_code")
 
+    def exit_code(self, path: str, recursive: bool = True, severity: str = "info", skip: tuple[str, ...] = ()) -> int:
+        """The largest exit code of the files under the path; 0 where there are none."""
+        return self.scan(path, recursive, severity, skip).agg(F.max("exit_code")).first()[0] or 0
+
+    @staticmethod
+    def weaker_left_out(found: DataFrame, severity: str) -> DataFrame:
+        return found.withColumn("evidence", scoring.at_least(F.col("evidence"), severity))
+
+    def write_reports(self, path: str, out: str, reporter: str = "jsonl", recursive: bool = True, severity: str = "info", skip: tuple[str, ...] = ()) -> None:
+        """Writes the files' reports, in the order of their paths, as lines of text under out."""
+        found = detectors.detect(readers.documents(self.files(path, recursive)), ["path", "length"], skip)
+        reports.reporter(reporter)(self.weaker_left_out(found, severity)).write.text(out)
+
     def sanitized(self, path: str) -> DataFrame:
         return self.process(path).select("path", "sanitized.text", F.size("sanitized.removed").alias("removed_count"), F.size("evidence").alias("evidence_count"))
 
@@ -55,9 +68,16 @@ class Engine:
             logs.append(logs.audit_entries(verdicts), audit)
         return verdicts.select("path", "decision.*")
 
+    def namespace(self) -> str:
+        """What the engine's decisions depend on beside the file. Rules of its own count with their tests as text; where that
+        text differs from one session to the next, the cache is missed, never wrongly hit."""
+        own = tuple(f"{r.id}|{r.action}|{r.reason}|{r.when}" for r in self.rules.rules) + (self.rules.name,) if self.rules else None
+        space = logs.namespace(self.mode) if own is None else logs.namespace(self.mode, own)
+        return space if self.most_bytes == fixed.MOST_FILE_BYTES else f"{space}|{self.most_bytes}"
+
     def incremental(self, path: str, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Decisions that the cache has, and verdicts of the files that it lacks, which alone are read and scanned."""
-        hits, misses = logs.cache_split(self.files(path), cache, logs.namespace(self.mode))
+        hits, misses = logs.cache_split(self.files(path), cache, self.namespace())
         verdicts = vet(readers.documents(misses.drop("sha256")), ["path", "length"], self.mode, rules=self.rules)
         return hits.drop("content"), verdicts.join(misses.select("path", "sha256"), "path")
 

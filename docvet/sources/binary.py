@@ -497,12 +497,12 @@ def kind_of_zip(data: bytes) -> str | None:
     return next((k for part, k in MAIN_PARTS.items() if part in names), None)
 
 
-def read(kind: str | None, name: str, data: bytes | None) -> dict:
-    """The model of one file; never raises: what can't be read has an error and no content."""
+def read(kind: str | None, name: str, data: bytes | None, own: dict[str, Callable[[bytes], dict]] | None = None) -> dict:
+    """The model of one file; never raises: what can't be read has an error and no content. own: further readers by kind."""
     kind = kind_of_zip(data or b"") if kind == "zip" else kind
-    if kind is None or data is None:
+    if kind is None or data is None or kind not in (own or {}) and kind not in READERS:
         return {"kind": "unknown", "error": {"kind": "unsupported_format", "message": f"unsupported format: {name}"}}
     try:
-        return {"kind": kind, "error": None} | READERS[kind](data)
+        return {"kind": kind, "error": None} | ((own or {}).get(kind) or READERS[kind])(data)
     except Exception as e:  # noqa: BLE001  a file must not end the job; its scan has failed and is blocked
         return {"kind": kind, "error": {"kind": "parse_failed", "message": f"failed to parse {name}: {e}"}}

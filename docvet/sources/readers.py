@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +42,22 @@ def with_kind(found: DataFrame) -> DataFrame:
     return found.withColumn("kind", F.coalesce(formats.kind_of_path(path), formats.kind_of_head(F.col("content"))))
 
 
-def _reader(batches):
+#: Readers of further kinds, from a file's bytes to columns of the model; formats.register() tells which files they get.
+OWN: dict[str, Callable[[bytes], dict]] = {}
+
+
+def register(kind: str, reader: Callable[[bytes], dict], extensions: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> None:
+    OWN[kind] = reader
+    formats.register(kind, extensions, names)
+
+
+def _reader(own: dict[str, Callable[[bytes], dict]]):
+    return lambda batches: _read(batches, own)
+
+
+def _read(batches, own):
     for pdf in batches:
-        rows = [binary.read(k, p.rpartition("/")[2], bytes(c) if c is not None else None) for k, p, c in zip(pdf["kind"], pdf["path"], pdf["content"], strict=True)]
+        rows = [binary.read(k, p.rpartition("/")[2], bytes(c) if c is not None else None, own) for k, p, c in zip(pdf["kind"], pdf["path"], pdf["content"], strict=True)]
         out = pd.DataFrame({c: [r.get(c) for r in rows] for c in ir.COLUMNS if c not in ("source", "family")})
         yield out.assign(path=pdf["path"].values, length=pdf["length"].values)
 
@@ -53,7 +68,7 @@ def documents(found: DataFrame) -> DataFrame:
     known = with_kind(found)
     native = known.filter("kind = 'text'")
     other = known.filter("kind is null or kind <> 'text'")
-    parsed = other.select("path", "length", "kind", "content").mapInPandas(_reader, f"{fields}, path string, length long")
+    parsed = other.select("path", "length", "kind", "content").mapInPandas(_reader(dict(OWN)), f"{fields}, path string, length long")
     keys = ["path", "length"]
     both = ir.complete(code(native), keys).unionByName(ir.complete(parsed.withColumn("source", text.file_name(F.col("path"))), keys))
     return both
