@@ -88,3 +88,59 @@ def test_one_kind_of_label_and_no_rows(spark):
     for some in (labels.filter("toxic = 0"), labels.filter("false")):
         assert len({r.score for r in T.classify(docs, some).collect()}) == 1
     assert T.classify(docs.filter("false"), labels).count() == 0
+
+
+def test_features_against_those_of_single_words():
+    import re
+
+    words = re.compile("[0-9a-z\u0080-\U0010ffff]+")
+    texts = ["The cat, the CAT's hat; Ärger Ünter naïve x", "", None, "supercalifragilistic 12345678 a-b_c", "été " * 50 + "the end", "日本語 text"]
+    got = {}
+    for t, h in T.features(pa.array(texts, pa.string())):
+        for a, b in zip(t.tolist(), h.tolist(), strict=True):
+            got.setdefault(a, []).append(b)
+    for i, text in enumerate(texts):
+        want = set()
+        for word in words.findall((text or "").lower()):
+            raw = word.encode()
+            parts = [word.encode()] + [raw[:n] for n in T.HEADS if len(raw) > n] + [raw[-n:] for n in T.TAILS if len(raw) > n]
+            own = {x for _, h in T.features(pa.array([word])) for x in h.tolist()}
+            assert len(own) == len(parts)
+            want |= own
+        assert sorted(got.get(i, [])) == sorted(want)
+
+
+def test_fit_is_where_the_loss_is_least():
+    rng = np.random.default_rng(3)
+    n, width = 300, 12
+    x = rng.random((n, width)) < 0.3
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] * 3 + x[:, 1] * 2 - 2)))).astype(float)
+    swap = [None if k % 3 else sorted({*np.flatnonzero(x[k]).tolist()} ^ {1, 2}) for k in range(n)]
+    own = [np.flatnonzero(r).tolist() for r in x]
+    w, b = T.fit(y, own, swap, width)
+
+    def loss(w, b):
+        share = y.mean()
+        total = 0.0
+        for k in range(n):
+            z = b + sum(w[f] for f in own[k])
+            each = T.BALANCE / share if y[k] else (1 - T.BALANCE) / (1 - share)
+            total += each / n * (np.log1p(np.exp(-z)) if y[k] else np.log1p(np.exp(z)))
+        changed = [sum(w[f] for f in own[k]) - sum(w[f] for f in swap[k]) for k in range(n) if swap[k] is not None]
+        return total + T.SQUARES / 2 * (w @ w) + T.COUNTERFACTUAL * np.mean(np.square(changed))
+
+    for f in range(width + 1):
+        step = np.eye(width + 1)[f] * 1e-4
+        slope = (loss(w + step[:width], b + step[width]) - loss(w - step[:width], b - step[width])) / 2e-4
+        assert abs(slope) < 2e-3, (f, slope)
+
+
+def test_scores_are_sums_over_distinct_features():
+    texts = ["a bad word and a bad day", "", None, "good day"]
+    hashes = np.unique(np.concatenate([h for _, h in T.features(pa.array(texts, pa.string()))]))
+    weights = np.linspace(-1, 1, len(hashes))
+    got = T.Model(hashes, weights, 0.25).scores(pa.array(texts, pa.string()))
+    for text, score in zip(texts, got, strict=True):
+        mine = {x for word in set((text or "").split()) for _, h in T.features(pa.array([word])) for x in h.tolist()}
+        z = 0.25 + sum(w for x, w in zip(hashes.tolist(), weights, strict=True) if x in mine)
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-12
