@@ -16,8 +16,8 @@ from docvet.llm import kernels
 from docvet.llm.shared import Scratch, from_files, in_file_order, numbered, stored
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers; a worker that has more starts anew. At the end of a task it may keep fewer.
-REMEMBERED_WORDS, KEPT_WORDS = 200_000, 60_000
+#: Words whose ids a Python worker remembers; of more, those stay that came in several chunks. It keeps fewer between tasks.
+REMEMBERED_WORDS, KEPT_WORDS = 320_000, 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 #: A document has fewer pieces: the tokens of 2 GiB of text, the most that a string holds.
@@ -27,7 +27,7 @@ MOST_PIECES = 1 << 21
 #: Texts on which words and the whole tokenizer must agree.
 PROBE = [
     "", " ", "  Two  spaces\tand\na\r\nline ", "THE Quick brown fox's co-operation, (e.g.) 3.14% of $1,000; a_b@c.d/e?f=g&h!", "ÄÖÜ äöüß ÉÈ naïve Straße İstanbul ǅ ﬁ ½ e\u0301 \u00a0x\u3000y",
-    "日本語 текст ελληνικά 😀👍🏽 \u200bzero \ufeffmark", "don't CAN'T I'll we've 'quoted' \"double\" --- ... ?! a.b.c. x,y", "supercalifragilisticexpialidocious1234567890 0x1F 1e-9 aaaaaaaaaaaaaaaaaaaaaaaa", "<|endoftext|> <|x", "word." * 5 + " end.", "a.", ".", "Hello!? ok: so; yes,",
+    "日本語 текст ελληνικά 😀👍🏽 \u200bzero \ufeffmark", "don't CAN'T I'll we've 'quoted' \"double\" --- ... ?! a.b.c. x,y", "supercalifragilisticexpialidocious1234567890 0x1F 1e-9 aaaaaaaaaaaaaaaaaaaaaaaa", "<|endoftext|> <|x", "word." * 5 + " end.", "cost$$$ (yes!) über*** olé!! ×!! ÷. naïveté's '' x''s _a_ ¿qué?", "a.", ".", "Hello!? ok: so; yes,",
 ]
 
 
@@ -47,8 +47,8 @@ class WordTokens:
     """
 
     PLAIN = re.compile("[a-zß-öø-ÿ]+")
-    END = np.zeros(256, bool)
-    END[np.frombuffer(b".,;:!?", np.uint8)] = True
+    SIGNS = np.zeros(256, bool)
+    SIGNS[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
     ALNUM = np.zeros(256, bool)
     ALNUM[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
 
@@ -69,36 +69,42 @@ class WordTokens:
     def forget(self) -> None:
         self.slot: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.at, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.at, self.n, self.seen = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.used = 0
 
-    def _put(self, hashes: list[int], ids: list[list[int]]) -> None:
-        flat = np.array([x for w in ids for x in w], np.uint32)
+    def shrink(self, most: int) -> None:
+        """Forgets all words but those that came in several chunks, and these too if they are more than most."""
+        names = list(self.slot)  # in the order of their slots
+        keep = np.flatnonzero(self.seen[: len(names)] > 1)
+        keep = keep if len(keep) <= most else keep[:0]
+        lens = self.n[keep]
+        ids = self.ids[np.repeat(self.at[keep] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+        self.forget()
+        self._put([names[k] for k in keep.tolist()], ids, lens)
+
+    def _put(self, hashes: list[int], flat: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.slot) + len(hashes) > len(self.at):
-            self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
-        k, lens = len(self.slot), np.fromiter(map(len, ids), np.int64, len(ids))
+            self.at, self.n, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.seen))
+        k = len(self.slot)
         self.ids[self.used : self.used + len(flat)] = flat
-        self.at[k : k + len(ids)] = self.used + np.cumsum(lens) - lens
-        self.n[k : k + len(ids)] = lens
-        self.slot.update(zip(hashes, range(k, k + len(ids)), strict=True))
+        self.at[k : k + len(hashes)] = self.used + np.cumsum(lens) - lens
+        self.n[k : k + len(hashes)] = lens
+        self.slot.update(zip(hashes, range(k, k + len(hashes)), strict=True))
         self.used += len(flat)
 
     def _learn(self, hashes: list[int], words: list[bytes]) -> None:
-        plain, other = [], []
-        for h, w in zip(hashes, words, strict=True):
-            text = w.decode("utf-8", "replace")
-            (plain if self.PLAIN.fullmatch(text) and len(text) < 1000 else other).append((h, text))
-        for i in range(0, len(plain), 256):
-            some = plain[i : i + 256]
-            got = self.model.encode(" ".join(t for _, t in some), add_special_tokens=False)
-            ids: list[list[int]] = [[] for _ in some]
-            for x, k in zip(got.ids, got.word_ids, strict=True):
-                ids[k].append(x)
-            self._put([h for h, _ in some], ids)
-        if other:
-            self._put([h for h, _ in other], [x.ids for x in self.whole.encode_batch_fast([t for _, t in other], add_special_tokens=False)])
+        texts = b" ".join(words).decode("utf-8", "replace").split(" ")
+        plain = [k for k, t in enumerate(texts) if len(t) < 1000 and self.PLAIN.fullmatch(t)]
+        for i in range(0, len(plain), 1024):
+            some = plain[i : i + 1024]
+            got = self.model.encode(" ".join([texts[k] for k in some]), add_special_tokens=False)
+            self._put([hashes[k] for k in some], np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
+        known = set(plain)
+        if other := [k for k in range(len(texts)) if k not in known]:
+            ids = [x.ids for x in self.whole.encode_batch_fast([texts[k] for k in other], add_special_tokens=False)]
+            self._put([hashes[k] for k in other], np.array([x for w in ids for x in w], np.uint32), np.array([len(w) for w in ids], np.int64))
 
     def of(self, data: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a part of at most CHUNK bytes with edges between texts: the starts of its words, the bounds of their ids, the ids."""
@@ -107,18 +113,24 @@ class WordTokens:
             data = kernels.lower(data)
             raw = data.tobytes()
         start, end = kernels.words(data, edges)
-        split = (end - start > 1) & self.END[data[end - 1]] & self.ALNUM[data[np.maximum(end - 2, 0)]]
-        start = np.sort(np.concatenate([start, end[split] - 1]))
-        end = np.sort(np.concatenate([end, end[split] - 1]))
+        if len(start) and b"<|" not in raw:
+            # Signs at a word's end, behind a letter or digit, are tokens of their own.
+            tail = (np.maximum.accumulate(np.where(self.SIGNS[data], -1, np.arange(len(data)))) + 1)[end - 1]
+            last, before = data[np.maximum(tail - 1, 0)], data[np.maximum(tail - 2, 0)]
+            latin = (before == 0xC3) & (last >= 0x9F) & (last <= 0xBF) & (last != 0xB7)
+            split = (tail > start) & (tail < end) & (self.ALNUM[last] | (latin & (tail - 1 > start)))
+            start = np.sort(np.concatenate([start, tail[split]]))
+            end = np.sort(np.concatenate([end, tail[split]]))
         uniq, first, back = np.unique(kernels.Prefix(data).of(start, end), return_index=True, return_inverse=True)
         if len(self.slot) + len(uniq) > REMEMBERED_WORDS:
-            self.forget()
+            self.shrink(REMEMBERED_WORDS // 2)
         names = uniq.tolist()
         slots = np.fromiter((self.slot.get(h, -1) for h in names), np.int64, len(names))
         if len(new := np.flatnonzero(slots < 0)):
             s, e = start[first[new]].tolist(), end[first[new]].tolist()
             self._learn([names[k] for k in new.tolist()], [raw[a:b] for a, b in zip(s, e, strict=True)])
             slots[new] = [self.slot[names[k]] for k in new.tolist()]
+        self.seen[slots] += 1
         slots = slots[back]
         lens = self.n[slots]
         bounds = np.zeros(len(lens) + 1, np.int64)
@@ -175,7 +187,7 @@ def token_pieces(path: str | None, capacity: int):
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
         if len(tokens.slot) > KEPT_WORDS:
-            tokens.forget()
+            tokens.shrink(KEPT_WORDS)
 
     return run
 
