@@ -141,7 +141,7 @@ def numbered(df: DataFrame, group: str, order: list, out: str, rows: int, by: Co
     starts where the one before ends; so a group with a third of all rows is numbered by many tasks. The order within a group
     is thus pseudo-random but fixed: (bucket, order columns). by: a whole number that the order columns never lessen, and that
     few rows share; then it makes the buckets, and the order is that of the columns. df is read twice and must give the same
-    rows both times.
+    rows both times. group is never null, so the join is on the columns by which the rows are dealt and moves them no further.
     """
     buckets = max(1, -(-rows // per_bucket))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if by is None else F.floor(by / per_bucket).cast("int"))
@@ -151,7 +151,7 @@ def numbered(df: DataFrame, group: str, order: list, out: str, rows: int, by: Co
     inside = Window.partitionBy(group, "_bucket").orderBy(*order)
     ranked = dealt.withColumn("_r", F.row_number().over(inside) - 1)
     return (
-        ranked.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_at")))
+        ranked.join(starts, (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_at")))
         .withColumn(out, (F.col("_start") + F.col("_r")).cast("long"))
         .drop("_bucket", "_group", "_at", "_start", "_r")
     )
