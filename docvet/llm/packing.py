@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docvet.llm import kernels
-from docvet.llm.shared import Scratch, from_files, in_file_order, numbered, stored
+from docvet.llm.shared import Scratch, few, file_starts, from_files, numbered, stored
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; of more, those stay that came in several chunks. It keeps fewer between tasks.
 REMEMBERED_WORDS, KEPT_WORDS = 320_000, 100_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
+#: file and row tell where the document lies, if that matters.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, file string, row long"
 #: A document has fewer pieces: the tokens of 2 GiB of text, the most that a string holds.
 MOST_PIECES = 1 << 21
 
@@ -171,21 +172,21 @@ def tokens_of(path: str | None) -> WordTokens:
 
 
 def token_pieces(path: str | None, capacity: int):
-    """For mapInArrow over doc_id, text and a place: the pieces of each document's ids, an id 0 behind them."""
+    """For mapInArrow over doc_id, text, file and row: the pieces of each document's ids, an id 0 behind them."""
 
     def run(batches):
         tokens = tokens_of(path)
         for batch in batches:
             out: list[tuple] = []
-            places = batch.column(2).to_pylist()
-            for doc, place, ids in zip(batch.column(0).to_pylist(), places, tokens.texts(batch.column(1)), strict=True):
+            for k, ids in enumerate(tokens.texts(batch.column(1))):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
                 for piece, at in enumerate(range(0, len(ids), capacity)):
                     some = ids[at : at + capacity]
-                    out.append((doc, piece, at, len(some), zlib.crc32(some.tobytes()), place))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
+                    out.append((k, piece, at, len(some), zlib.crc32(some.tobytes())))
+            k, *cols = list(zip(*out, strict=True)) or [[]] * 5
+            doc, file, row = (batch.column(c).take(pa.array(k, pa.int64())) for c in (0, 2, 3))
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, t) for c, t in zip(cols, types, strict=True)), file, row], ["doc_id", "piece", "start", "length", "ids_crc32", "file", "row"])
         if len(tokens.slot) > KEPT_WORDS:
             tokens.shrink(KEPT_WORDS)
 
@@ -272,12 +273,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     """
     spark = docs.sparkSession
     with Scratch(spark) as tmp:
-        place = F.lit(None).cast("long")
+        file, row = F.lit(None).cast("string"), F.lit(None).cast("long")
         if ordered:
-            docs = in_file_order(from_files(docs).select("doc_id", "text"), "place")
-            place = F.col("place")
-        pieces = tmp.stored(docs.select(F.col("doc_id").cast("long"), "text", place.alias("place")).mapInArrow(kernels.trimmed(token_pieces(tokenizer, capacity)), PIECES), "pieces")
+            docs = from_files(docs)
+            meta = docs.metadataColumn("_metadata")
+            file, row = meta["file_path"], meta["row_index"]
+        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), file.alias("file"), row.alias("row"))
+        pieces = tmp.stored(texts.mapInArrow(kernels.trimmed(token_pieces(tokenizer, capacity)), PIECES), "pieces")
         counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+        if ordered:  # the short rows of pieces meet those of files; texts are not moved
+            starts = few(tmp.stored(file_starts(docs), "files"))
+            pieces = pieces.join(starts, F.col("file") == F.col("_file")).withColumn("place", F.col("_first") + F.col("row")).drop("_file", "_first")
+        pieces = pieces.drop("file", "row")
         plan: dict[int, list[tuple]] = {}
         for length, *rest in best_fit_decreasing(counts, capacity):
             plan.setdefault(length, []).append(tuple(rest))
@@ -289,7 +296,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
         placed = out.select(
             "doc_id", "piece", "start", "length", "ids_crc32",
             F.expr("_run.bin + (_rank - _run.first) div _run.each").alias("sequence_id"),
-            F.expr("_run.at + (_rank - _run.first) % _run.each * length").alias("offset"), "place",
+            F.expr("_run.at + (_rank - _run.first) % _run.each * length").alias("offset"), *(["place"] if ordered else []),
         )
         if ordered:
             first = F.min(F.col("place") * MOST_PIECES + F.col("piece")).over(Window.partitionBy("sequence_id"))

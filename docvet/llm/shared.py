@@ -124,14 +124,13 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def in_file_order(docs: DataFrame, name: str) -> DataFrame:
-    """docs, which come straight from files, with a column name: the rows' number from 0, files in the order of their names."""
+def file_starts(docs: DataFrame) -> DataFrame:
+    """Of each file of docs, which come straight from files: _file, its path, and _first, the number of rows in the files
+    before it, in the order of their names. A short row a file."""
     meta = docs.metadataColumn("_metadata")
-    rows = docs.select("*", meta["file_path"].alias("_path"), meta["row_index"].alias("_row"))
-    files = rows.groupBy("_path").agg(F.max("_row").alias("_last")).select(F.col("_path").alias("_file"), "_last")  # a short row a file
+    files = docs.select(meta["file_path"].alias("_file"), meta["row_index"].alias("_row")).groupBy("_file").agg(F.max("_row").alias("_last"))
     before = Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("_file", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_first"))
-    return rows.join(files, F.col("_path") == F.col("_file")).select(*docs.columns, (F.col("_first") + F.col("_row")).alias(name))
+    return files.select("_file", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_first"))
 
 
 def numbered(df: DataFrame, group: str, order: list, out: str, rows: int, by: Column | None = None, per_bucket: int = 50_000) -> DataFrame:
