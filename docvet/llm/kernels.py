@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; bounds the memory of the vectorised steps.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Rows of a batch that are worked on at once.
 BATCH_ROWS = 1000
+#: Batches between two calls of trim().
+TRIM_BATCHES = 4
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -56,12 +58,16 @@ def trim() -> None:
 
 
 def trimmed(run: Callable) -> Callable:
-    """run, a function for mapInArrow, with batches of at most BATCH_ROWS rows; at the end of a task, trim()."""
+    """run, a function for mapInArrow, with batches of at most BATCH_ROWS rows; trim() now and then and at the end of a task."""
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for batch in batches:
             for i in range(0, max(1, batch.num_rows), BATCH_ROWS):
                 yield batch.slice(i, BATCH_ROWS)
+                done += 1
+                if done % TRIM_BATCHES == 0:
+                    trim()
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
