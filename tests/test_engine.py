@@ -179,3 +179,31 @@ def test_pdf_text_that_cannot_be_read_fails_closed():
     assert binary.read("pdf", "x.pdf", made(plain))["error"] is None
     for data in (made(plain, "/Form"), made("/Subtype /Type0 /Encoding /Identity-H"), made("/Subtype /TrueType /Encoding << /Differences [65 /B] >>")):
         assert binary.read("pdf", "x.pdf", data)["error"]["kind"] == "parse_failed"
+
+
+def test_pdf_matrices_and_filters():
+    import base64
+    import zlib
+
+    from docvet.sources import binary
+    from tests.files import pdf
+
+    def sizes(content):
+        return [r["font_size"] for r in binary.read("pdf", "x.pdf", pdf(content))["paragraphs"][0]["runs"]]
+
+    assert sizes("q 0.1 0 0 0.1 0 0 cm BT /F1 12 Tf (a) Tj ET Q BT /F1 12 Tf (b) Tj ET") == pytest.approx([1.2, 12])
+    assert sizes("q .5 0 0 .5 0 0 cm .2 0 0 .2 9 9 cm BT /F1 1 Tf 0 12 -12 0 0 0 Tm (a) Tj ET Q") == pytest.approx([1.2])
+    assert sizes("0 2 -2 0 0 0 cm BT /F1 6 Tf 1 0 0 1 5 5 Tm (a) Tj ET") == pytest.approx([12])
+    assert binary.read("pdf", "x.pdf", pdf("0 0 0 0 0 0 cm BT /F1 6 Tf (a) Tj ET"))["paragraphs"][0]["runs"][0]["is_hidden"]
+
+    body = b"BT /F1 9 Tf (words) Tj ET"
+    for names, data in (
+        ("/ASCII85Decode", base64.a85encode(body, wrapcol=10) + b"~>"), ("/ASCIIHexDecode", body.hex(" ").encode() + b">"),
+        ("[/ASCII85Decode /FlateDecode]", base64.a85encode(zlib.compress(body)) + b"~>"),
+    ):
+        raw = pdf("@").replace(b"<< /Length 1 >>", f"<< /Filter {names} >>".encode()).replace(b"@", data)
+        got = binary.read("pdf", "x.pdf", raw)
+        assert got["error"] is None and got["paragraphs"][0]["text"] == "words", names
+    for names, data in (("/LZWDecode", b"x"), ("/ASCII85Decode", b"vvvv~>"), ("/ASCIIHexDecode", b"zz>")):
+        raw = pdf("@").replace(b"<< /Length 1 >>", f"<< /Filter {names} >>".encode()).replace(b"@", data)
+        assert binary.read("pdf", "x.pdf", raw)["error"]["kind"] == "parse_failed"
