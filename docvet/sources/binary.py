@@ -431,8 +431,8 @@ def _readable(doc: Pdf, font: Any) -> None:
 
 def pdf(data: bytes) -> dict:
     """A paragraph for each page, a run for each shown text with its alpha and its size, that of the font after the text's and
-    the page's matrices; annotations with contents. Text
-    that the matrices shrink to nothing is hidden. Composite fonts, fonts with an encoding of their own and form XObjects raise."""
+    the page's matrices; annotations with contents. Text that the matrices shrink to nothing is hidden. Composite fonts, fonts
+    with an encoding of their own and form XObjects raise."""
     doc = Pdf(data)
     paragraphs, annotations = [], []
     for number, page_ in enumerate(doc.pages(), 1):
